@@ -1,19 +1,29 @@
 """Column expressions and measures the operators share."""
 
-from quernwork.functions.measures import Measure, count, highest, lowest, merges, partials, total
-from quernwork.functions.money import as_double, discounted, money, taxed
+from quernwork.functions.measures import (
+    Measure,
+    columns,
+    count,
+    highest,
+    lowest,
+    merges,
+    partials,
+    total,
+)
+from quernwork.functions.money import amount, cents, discounted, taxed
 from quernwork.functions.times import micros, sorted_rank
 
 __all__ = [
     "Measure",
-    "as_double",
+    "amount",
+    "cents",
+    "columns",
     "count",
     "discounted",
     "highest",
     "lowest",
     "merges",
     "micros",
-    "money",
     "partials",
     "sorted_rank",
     "taxed",

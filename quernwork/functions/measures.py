@@ -6,41 +6,71 @@ aggregate twice: once over rows, once over the results of the first step.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A sum of longs is kept as two sums, of the bits from here up and of those below.
+LOW_BITS = 20
+
 
 @dataclass(frozen=True)
-class Measure:
-    """A named aggregate: ``partial`` over rows, ``merge`` over partial results."""
+class Part:
+    """One column of a measure: an aggregate over rows, and one over its results."""
 
-    name: str
     partial: Column
     merge: Callable[[str], Column]
 
 
-def count(name: str) -> Measure:
-    return Measure(name, F.count(F.lit(1)), F.sum)
+@dataclass(frozen=True)
+class Measure:
+    """An aggregate, kept in one column or several."""
+
+    parts: Mapping[str, Part]
 
 
-def total(name: str, value: Column | str) -> Measure:
-    return Measure(name, F.sum(value), F.sum)
+def count(name: str) -> Measure:
+    return Measure({name: Part(F.count(F.lit(1)), F.sum)})
 
 
 def lowest(name: str, value: Column | str) -> Measure:
-    return Measure(name, F.min(value), F.min)
+    return Measure({name: Part(F.min(value), F.min)})
 
 
 def highest(name: str, value: Column | str) -> Measure:
-    return Measure(name, F.max(value), F.max)
+    return Measure({name: Part(F.max(value), F.max)})
+
+
+def total(name: str, units: Column) -> Measure:
+    """The exact sum of a long, to be read with ``total_units``.
+
+    A plain sum of longs can overflow over a large table, and a sum of decimals
+    wide enough leaves the long arithmetic that makes aggregation fast. Each of
+    the two sums here is good for 2**43 rows of units up to 2**40.
+    """
+    return Measure(
+        {
+            f"{name}_high": Part(F.sum(F.shiftright(units, LOW_BITS)), F.sum),
+            f"{name}_low": Part(F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))), F.sum),
+        }
+    )
+
+
+def total_units(name: str) -> Column:
+    """The value of the measure ``total``, as a decimal without fraction."""
+    high = F.col(f"{name}_high").cast("decimal(20,0)")
+    return high * F.lit(1 << LOW_BITS) + F.col(f"{name}_low").cast("decimal(20,0)")
+
+
+def columns(measures: Iterable[Measure]) -> list[str]:
+    return [name for m in measures for name in m.parts]
 
 
 def partials(measures: Iterable[Measure]) -> list[Column]:
-    return [m.partial.alias(m.name) for m in measures]
+    return [p.partial.alias(name) for m in measures for name, p in m.parts.items()]
 
 
 def merges(measures: Iterable[Measure]) -> list[Column]:
-    return [m.merge(m.name).alias(m.name) for m in measures]
+    return [p.merge(name).alias(name) for m in measures for name, p in m.parts.items()]

@@ -1,31 +1,36 @@
-"""Money as decimals, so that a sum does not depend on the order of its rows."""
+"""Money held as doubles of two decimals, made exact.
+
+Sums of doubles depend on the order of their rows. Amounts are turned into whole
+units first: cents, or fractions of a cent where a rate of two decimals is
+multiplied in.
+"""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def money(amount: str) -> Column:
-    """An amount of two decimals. Up to 18 digits Spark keeps a decimal as a long."""
-    return F.col(amount).cast("decimal(12,2)")
+from quernwork.functions.measures import total_units
 
 
-def _rate(share: str) -> Column:
-    return F.col(share).cast("decimal(4,2)")
+def cents(amount: str) -> Column:
+    """Hundredths of an amount of two decimals."""
+    return F.rint(F.col(amount) * 100).cast("bigint")
 
 
 def discounted(price: str, discount: str) -> Column:
-    """The price less its discount, exact to four decimals."""
-    return money(price) * (1 - _rate(discount))
+    """The price less its discount, in units of four decimals."""
+    return cents(price) * (100 - cents(discount))
 
 
 def taxed(price: str, discount: str, tax: str) -> Column:
-    """The discounted price plus tax, exact to six decimals."""
-    return discounted(price, discount) * (1 + _rate(tax))
+    """The discounted price plus tax, in units of six decimals."""
+    return discounted(price, discount) * (100 + cents(tax))
 
 
-def as_double(amount: Column | str) -> Column:
-    """An exact amount rounded to cents, as a double for the reader of a result."""
-    exact = F.col(amount) if isinstance(amount, str) else amount
+def amount(name: str, decimals: int = 2) -> Column:
+    """A ``total`` of units of so many decimals, rounded to cents, as a double."""
+    exact = total_units(name) * F.lit(Decimal(1).scaleb(-decimals))
     return exact.cast("decimal(38,2)").cast("double")

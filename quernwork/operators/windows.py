@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from datetime import timedelta
 from math import gcd
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernwork.functions.measures import Measure, merges, partials
+from quernwork.functions.measures import Measure, columns, merges, partials
 from quernwork.functions.times import micros
 
 _MICROSECOND = timedelta(microseconds=1)
@@ -59,7 +59,7 @@ def _flat(df: DataFrame, by: Sequence[str], measures: Sequence[Measure]) -> Data
         *by,
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),
-        *[m.name for m in measures],
+        *columns(measures),
     )
 
 
@@ -79,43 +79,48 @@ def sessions(
 
     1. Rows within a pane as wide as the gap always share a session. They are
        aggregated, with the combining before the shuffle that this brings.
-    2. Sessions are joined up from panes within blocks of a fixed number of
-       panes: no group has more rows than that, however many events it holds.
+    2. Panes are joined up within blocks of a fixed number of panes: no group has
+       more rows than that, however many events it holds.
     3. Only sessions that reach within a gap of a block's edge can go on in
        another block. Those, at most two a block, are joined up per key.
+
+    Whether a session is at an edge comes out of the grouping of step 2, so that
+    Spark pushes no filter below it and both its uses read the same shuffled panes.
     """
     pane = F.window(time, micros(gap)).alias("_pane")
+    starts_at_edge = F.col("_first") < F.col("_block.start") + gap
+    ends_at_edge = F.col("_last") >= F.col("_block.end") - gap
     panes = (
-        df.where(F.col(time).isNotNull())
-        .groupBy(*by, pane)
+        df.groupBy(*by, pane)
         .agg(F.min(time).alias("_first"), F.max(time).alias("_last"), *partials(measures))
-        .withColumn("_block", F.window(F.col("_pane.start"), micros(gap * panes_per_block)))
+        .withColumn("_block", F.window("_pane.start", micros(gap * panes_per_block)))
+        .withColumn("_at_edge", starts_at_edge | ends_at_edge)
         .drop("_pane")
     )
-    in_block = _join_up(panes, by, "_block", gap, measures)
-    at_edge = (F.col("_first") < F.col("_block.start") + gap) | (
-        F.col("_last") >= F.col("_block.end") - gap
-    )
-    settled = in_block.withColumn("_block", F.when(~at_edge, F.col("_block")))
-    return _join_up(settled, by, "_block", gap, measures).select(
+    merged = merges(measures)
+    at_edge = F.bool_or("_at_edge").alias("_at_edge")
+    in_block = _join_up(panes, [*by, "_block"], gap, [*merged, at_edge]).drop("_block")
+    settled = in_block.where(~F.col("_at_edge")).drop("_at_edge")
+    across = _join_up(in_block.where("_at_edge"), by, gap, merged)
+    return settled.unionByName(across).select(
         *by,
         F.col("_first").alias("session_start"),
         (F.col("_last") + gap).alias("session_end"),
-        *[m.name for m in measures],
+        *columns(measures),
     )
 
 
 def _join_up(
-    df: DataFrame, by: Sequence[str], within: str, gap: timedelta, measures: Sequence[Measure]
+    df: DataFrame, by: Sequence[str], gap: timedelta, merged: Sequence[Column]
 ) -> DataFrame:
-    """Merge the pieces of activity that follow each other within ``gap``."""
-    window = Window.partitionBy(*by, within).orderBy("_first")
+    """Merge the stretches of activity of a key that follow each other within ``gap``."""
+    window = Window.partitionBy(*by).orderBy("_first")
     starts = F.col("_first") > F.lag("_last").over(window) + gap
     numbered = df.withColumn("_starts", F.coalesce(starts, F.lit(False)).cast("int")).withColumn(
         "_number", F.sum("_starts").over(window)
     )
     return (
-        numbered.groupBy(*by, within, "_number")
-        .agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), *merges(measures))
+        numbered.groupBy(*by, "_number")
+        .agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), *merged)
         .drop("_number")
     )

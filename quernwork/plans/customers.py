@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernwork.functions import Measure, as_double, count, highest, lowest, money, partials, total
+from quernwork.functions import Measure, amount, cents, count, highest, lowest, partials, total
 from quernwork.operators import cube_sets, grouping_totals, roll_up, rollup_sets
 from quernwork.plans.registry import Query
 from quernwork.sources import Tables
@@ -19,7 +19,7 @@ _PICKED_SETS = [["r_name", "c_mktsegment"], ["n_name"], []]
 def _measures() -> list[Measure]:
     return [
         count("n_customers"),
-        total("balance", money("c_acctbal")),
+        total("balance", cents("c_acctbal")),
         lowest("min_balance", "c_acctbal"),
         highest("max_balance", "c_acctbal"),
     ]
@@ -39,8 +39,8 @@ def _balances(sets: Sequence[Sequence[str]]) -> Callable[[Tables], DataFrame]:
             *_DIMS,
             "level",
             "n_customers",
-            as_double("balance").alias("sum_balance"),
-            (as_double("balance") / F.col("n_customers")).alias("avg_balance"),
+            amount("balance").alias("sum_balance"),
+            (amount("balance") / F.col("n_customers")).alias("avg_balance"),
             "min_balance",
             "max_balance",
         )

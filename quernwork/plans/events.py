@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernwork.functions import Measure, as_double, count, highest, lowest, money, total
+from quernwork.functions import Measure, amount, cents, count, highest, lowest, partials, total
 from quernwork.operators import asof_join, sessions, sliding, tumbling
 from quernwork.plans.registry import Query
 from quernwork.sources import Tables
@@ -16,11 +16,11 @@ GAP = timedelta(minutes=30)
 
 
 def values() -> list[Measure]:
-    return [count("n_events"), total("value", money("value"))]
+    return [count("n_events"), total("value", cents("value"))]
 
 
 def with_double_value(df: DataFrame) -> DataFrame:
-    return df.withColumn("sum_value", as_double("value")).drop("value")
+    return df.withColumn("sum_value", amount("value")).drop("value_high", "value_low")
 
 
 def props_by_type(tables: Tables) -> DataFrame:
@@ -49,9 +49,7 @@ def value_by_props(tables: Tables) -> DataFrame:
     """Event values by decade of the number ``k`` in the properties."""
     fields = F.from_json("props", "k bigint")
     events = tables.read("events", "props", "value").select(fields["k"].alias("k"), "value")
-    decades = events.groupBy(F.expr("k div 10").alias("decade")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.sum(money("value")).alias("value")
-    )
+    decades = events.groupBy(F.expr("k div 10").alias("decade")).agg(*partials(values()))
     return with_double_value(decades)
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quernwork.functions import (
     Measure,
-    as_double,
+    amount,
+    cents,
     count,
     discounted,
-    money,
     partials,
     taxed,
     total,
@@ -25,25 +25,34 @@ def _revenue() -> list[Measure]:
 
 
 def pricing_summary(tables: Tables) -> DataFrame:
-    lines = tables.read("lineitem").where(F.col("l_shipdate") <= F.lit("2001-06-01").cast("timestamp_ntz"))
-    sums = lines.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum(money("l_quantity")).alias("quantity"),
-        F.sum(money("l_extendedprice")).alias("base"),
-        F.sum(discounted("l_extendedprice", "l_discount")).alias("discounted"),
-        F.sum(taxed("l_extendedprice", "l_discount", "l_tax")).alias("charged"),
-        F.sum(F.col("l_discount").cast("decimal(4,2)")).alias("discount"),
-        F.count(F.lit(1)).alias("n_lines"),
+    shipped = F.col("l_shipdate") <= F.lit("2001-06-01").cast("timestamp_ntz")
+    sums = (
+        tables.read("lineitem")
+        .where(shipped)
+        .groupBy("l_returnflag", "l_linestatus")
+        .agg(
+            *partials(
+                [
+                    count("n_lines"),
+                    total("quantity", cents("l_quantity")),
+                    total("base", cents("l_extendedprice")),
+                    total("discounted", discounted("l_extendedprice", "l_discount")),
+                    total("charged", taxed("l_extendedprice", "l_discount", "l_tax")),
+                    total("discount", cents("l_discount")),
+                ]
+            )
+        )
     )
     return sums.select(
         "l_returnflag",
         "l_linestatus",
-        as_double("quantity").alias("sum_qty"),
-        as_double("base").alias("sum_base_price"),
-        as_double("discounted").alias("sum_disc_price"),
-        as_double("charged").alias("sum_charge"),
-        (as_double("quantity") / F.col("n_lines")).alias("avg_qty"),
-        (as_double("base") / F.col("n_lines")).alias("avg_price"),
-        (as_double("discount") / F.col("n_lines")).alias("avg_disc"),
+        amount("quantity").alias("sum_qty"),
+        amount("base").alias("sum_base_price"),
+        amount("discounted", 4).alias("sum_disc_price"),
+        amount("charged", 6).alias("sum_charge"),
+        (amount("quantity") / F.col("n_lines")).alias("avg_qty"),
+        (amount("base") / F.col("n_lines")).alias("avg_price"),
+        (amount("discount") / F.col("n_lines")).alias("avg_disc"),
         "n_lines",
     ).orderBy("l_returnflag", "l_linestatus")
 
@@ -87,7 +96,7 @@ def revenue_by_region(tables: Tables) -> DataFrame:
         tables.read("region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     by_region = roll_up(by_nation, places, ("c_nationkey", "n_nationkey"), ["r_name"], _revenue())
-    return by_region.select("r_name", "n_lines", as_double("revenue").alias("revenue")).orderBy("r_name")
+    return by_region.select("r_name", "n_lines", amount("revenue", 4).alias("revenue")).orderBy("r_name")
 
 
 _REVENUE_BY_REGION_SQL = """
@@ -110,7 +119,7 @@ def revenue_by_brand_and_year(tables: Tables) -> DataFrame:
     by_part = lines.groupBy("l_partkey", year).agg(*partials(_revenue()))
     parts = tables.read("part", "p_partkey", "p_brand")
     by_brand = roll_up(by_part, parts, ("l_partkey", "p_partkey"), ["p_brand", "ship_year"], _revenue())
-    return by_brand.select("p_brand", "ship_year", "n_lines", as_double("revenue").alias("revenue"))
+    return by_brand.select("p_brand", "ship_year", "n_lines", amount("revenue", 4).alias("revenue"))
 
 
 _REVENUE_BY_BRAND_AND_YEAR_SQL = """
@@ -126,11 +135,9 @@ GROUP BY ALL
 def revenue_from_local_suppliers(tables: Tables) -> DataFrame:
     """Revenue by nation, of lines whose supplier and customer share the nation."""
     lines = tables.read("lineitem", "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
-    by_supplier = lines.groupBy("l_orderkey", "l_suppkey").agg(*partials(_revenue()))
     suppliers = tables.read("supplier", "s_suppkey", "s_nationkey")
-    by_order = roll_up(
-        by_supplier, suppliers, ("l_suppkey", "s_suppkey"), ["l_orderkey", "s_nationkey"], _revenue()
-    )
+    supplied = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    by_order = supplied.groupBy("l_orderkey", "s_nationkey").agg(*partials(_revenue()))
     orders = tables.read("orders", "o_orderkey", "o_custkey")
     by_customer = roll_up(
         by_order, orders, ("l_orderkey", "o_orderkey"), ["o_custkey", "s_nationkey"], _revenue()
@@ -140,7 +147,7 @@ def revenue_from_local_suppliers(tables: Tables) -> DataFrame:
     by_nation = roll_up(by_customer, customers, local, ["c_nationkey"], _revenue())
     nations = tables.read("nation", "n_nationkey", "n_name")
     named = roll_up(by_nation, nations, ("c_nationkey", "n_nationkey"), ["n_name"], _revenue())
-    return named.select("n_name", "n_lines", as_double("revenue").alias("revenue"))
+    return named.select("n_name", "n_lines", amount("revenue", 4).alias("revenue"))
 
 
 _REVENUE_FROM_LOCAL_SUPPLIERS_SQL = """

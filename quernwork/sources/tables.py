@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernwork.sources.schemas import SCHEMAS
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -19,7 +21,10 @@ class Tables:
 
     def read(self, name: str, *columns: str) -> DataFrame:
         """The whole table, or only ``columns`` of it; the scan reads no others."""
-        df = self.spark.read.parquet(self.path(name))
+        reader = self.spark.read
+        if name in SCHEMAS:
+            reader = reader.schema(SCHEMAS[name])
+        df = reader.parquet(self.path(name))
         return df.select(*columns) if columns else df
 
     def stream(self, name: str, max_files: int | None = None) -> DataFrame:
@@ -29,8 +34,7 @@ class Tables:
         is not event order, so splitting a backlog over several triggers can
         make old rows late; set it only for files that arrive in event order.
         """
-        schema = self.spark.read.parquet(self.path(name)).schema
-        reader = self.spark.readStream.schema(schema)
+        reader = self.spark.readStream.schema(SCHEMAS[name])
         if max_files is not None:
             reader = reader.option("maxFilesPerTrigger", max_files)
         return reader.parquet(self._stream_path(name))

@@ -13,7 +13,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernwork.functions.measures import Measure, partials
+from quernwork.functions.measures import Measure, columns, partials
 from quernwork.functions.times import micros
 
 
@@ -77,6 +77,6 @@ def _grouped(
             *by,
             F.col(f"{name}.start").cast("timestamp_ntz").alias(f"{name}_start"),
             F.col(f"{name}.end").cast("timestamp_ntz").alias(f"{name}_end"),
-            *[m.name for m in measures],
+            *columns(measures),
         )
     )
