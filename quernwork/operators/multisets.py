@@ -31,7 +31,12 @@ def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
 def _repeated(
     counted: DataFrame, columns: Sequence[str], copies: Column, chunk: int
 ) -> DataFrame:
-    """Each row as often as ``copies`` says; long runs are spread over tasks."""
+    """Each row as often as ``copies`` says; long runs are spread over tasks.
+
+    Chunks are small until they are written out, so their number of partitions is
+    given: AQE would put them all in one.
+    """
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = counted.select(*columns, copies.alias(_COPIES)).where(F.col(_COPIES) > 0)
     few = rows.where(F.col(_COPIES) <= chunk)
     chunks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"({_COPIES} - 1) div {chunk}"))
@@ -39,7 +44,7 @@ def _repeated(
         rows.where(F.col(_COPIES) > chunk)
         .withColumn("_chunk", F.explode(chunks))
         .withColumn(_COPIES, F.least(F.lit(chunk), F.col(_COPIES) - F.col("_chunk") * chunk))
-        .repartition(*columns, "_chunk")
+        .repartition(tasks, *columns, "_chunk")
         .drop("_chunk")
     )
     return few.unionAll(many).select(

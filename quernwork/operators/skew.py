@@ -43,7 +43,8 @@ def key_splits(df: DataFrame, by: Sequence[str], order: str, rows: int) -> DataF
     n_heavy = heavy.count()
     if n_heavy == 0:
         return None
-    fractions = [i / MAX_PIECES for i in range(1, MAX_PIECES)]
+    fractions = ", ".join(f"{i / MAX_PIECES}D" for i in range(1, MAX_PIECES))
+    cuts = F.expr(f"percentile_approx(`{order}`, array({fractions}), {SPLIT_ACCURACY})")
     pieces = F.least(F.lit(MAX_PIECES), F.ceil(F.col("n_rows") / rows))
     chosen = F.transform(
         F.sequence(F.lit(1), pieces.cast("int") - 1),
@@ -53,10 +54,7 @@ def key_splits(df: DataFrame, by: Sequence[str], order: str, rows: int) -> DataF
         df.select(*by, order)
         .join(broadcast_up_to(heavy, n_heavy), list(by))
         .groupBy(*by)
-        .agg(
-            F.percentile_approx(order, fractions, SPLIT_ACCURACY).alias("cuts"),
-            F.max("n_rows").alias("n_rows"),
-        )
+        .agg(cuts.alias("cuts"), F.max("n_rows").alias("n_rows"))
         .select(*by, chosen.alias("splits"))
         .checkpoint()
     )
