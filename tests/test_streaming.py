@@ -1,0 +1,105 @@
+"""Streams over small files: late rows, restarts, and agreement with batch."""
+
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from quernwork import streaming
+from quernwork.functions import count, highest
+from quernwork.operators import sessions, sliding, tumbling
+from tests.fixtures import EVENT_SCHEMA, at, events, frame, sorted_rows
+
+MINUTE = timedelta(minutes=1)
+
+
+class Run:
+    """A source folder, fed one file at a time, and the table its stream fills."""
+
+    def __init__(self, spark, folder, windows):
+        self.spark = streaming.event_session(spark)
+        self.source, self.table, self.checkpoint = (
+            str(folder / name) for name in ("source", "table", "checkpoint")
+        )
+        self.windows = windows
+
+    def feed(self, rows):
+        frame(self.spark, rows).coalesce(1).write.mode("append").parquet(self.source)
+
+    def go(self):
+        stream = self.spark.readStream.schema(EVENT_SCHEMA).parquet(self.source)
+        timed = streaming.with_event_time(stream, "ts", MINUTE)
+        streaming.run_to_table(self.windows(timed), self.table, self.checkpoint)
+        return sorted_rows(self.spark.read.parquet(self.table))
+
+
+def by_minute(stream):
+    return streaming.tumbling(stream, ["user"], "ts", MINUTE, [count("n")])
+
+
+def test_windows_close_late_rows_are_left_out_and_restarts_go_on(spark, tmp_path):
+    run = Run(spark, tmp_path, by_minute)
+    run.feed([(0, 1, at(10), 0.0), (1, 1, at(50), 0.0), (2, 1, at(70), 0.0)])
+    assert run.go() == []  # the watermark is at 10 s
+    run.feed([(3, 1, at(20), 0.0), (4, 1, at(190), 0.0)])  # out of order, yet in time
+    assert run.go() == [(1, at(0), at(60), 3), (1, at(60), at(120), 1)]
+    run.feed([(5, 1, at(30), 0.0), (6, 1, at(200), 0.0), (7, 1, at(400), 0.0)])  # 30 s is late
+    assert run.go() == [
+        (1, at(0), at(60), 3),
+        (1, at(60), at(120), 1),
+        (1, at(180), at(240), 2),
+    ]
+    assert run.go() == run.go()  # nothing new, nothing twice
+
+
+def test_sessions_grow_over_triggers(spark, tmp_path):
+    def windows(stream):
+        return streaming.sessions(stream, ["user"], "ts", MINUTE, [count("n"), highest("top", "value")])
+
+    run = Run(spark, tmp_path, windows)
+    run.feed([(0, 1, at(0), 1.0), (1, 1, at(40), 5.0), (2, 2, at(0), 2.0)])
+    assert run.go() == []
+    run.feed([(3, 1, at(100), 3.0), (4, 1, at(300), 4.0)])
+    assert run.go() == [(1, at(0), at(160), 3, 5.0), (2, at(0), at(60), 1, 2.0)]
+
+
+@pytest.mark.parametrize("kind", ["tumbling", "sliding", "sessions"])
+def test_closed_windows_equal_batch(spark, tmp_path, kind):
+    rows = [r for r in events(7, 400) if r[1] is not None]
+    args = {
+        "tumbling": [MINUTE],
+        "sliding": [5 * MINUTE, 2 * MINUTE],
+        "sessions": [timedelta(seconds=20)],
+    }[kind]
+    run = Run(spark, tmp_path, lambda s: getattr(streaming, kind)(s, ["user"], "ts", *args, [count("n")]))
+    run.feed(rows)
+    found = run.go()
+
+    batch = {"tumbling": tumbling, "sliding": sliding, "sessions": sessions}[kind]
+    whole = batch(frame(spark, rows), ["user"], "ts", *args, [count("n")])
+    watermark = max(r[2] for r in rows if r[2] is not None) - MINUTE
+    end = F.col("session_end" if kind == "sessions" else "window_end")
+    assert found == sorted_rows(whole.where(end <= F.lit(watermark).cast("timestamp_ntz")))
+    assert found
+
+
+def test_busy_keys_join_up_sessions_before_the_shuffle(spark, tmp_path):
+    run = Run(spark, tmp_path, lambda s: streaming.sessions(s, ["user"], "ts", MINUTE, [count("n")]))
+    run.feed([(i, 1, at(i), 0.0) for i in range(1000)])
+    stream = run.spark.readStream.schema(EVENT_SCHEMA).parquet(run.source)
+    timed = streaming.with_event_time(stream, "ts", MINUTE)
+    query = (
+        run.windows(timed).writeStream.format("parquet").option("path", run.table)
+        .option("checkpointLocation", run.checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "MergingSessions" in plan[plan.rindex("Exchange hashpartitioning"):]
+
+
+def test_event_session_leaves_the_given_one_alone(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    own = streaming.event_session(spark)
+    assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert "RocksDB" in own.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
