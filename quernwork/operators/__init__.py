@@ -12,7 +12,7 @@ from quernwork.operators.multisets import (
     union_distinct,
 )
 from quernwork.operators.ranking import top_k
-from quernwork.operators.skew import broadcast_up_to, heavy_keys, key_splits
+from quernwork.operators.skew import broadcast_up_to, heavy_keys, key_splits, part_heavy
 from quernwork.operators.windows import sessions, sliding, tumbling
 
 __all__ = [
@@ -28,6 +28,7 @@ __all__ = [
     "intersect_distinct",
     "key_splits",
     "lacking",
+    "part_heavy",
     "roll_up",
     "rollup_sets",
     "sessions",

@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernwork.functions.times import sorted_rank
-from quernwork.operators.skew import MAX_PIECES, key_splits
-
-# Rows of one key that a single task sorts without trouble.
-HOT_ROWS = 10_000_000
+from quernwork.operators.skew import HOT_ROWS, MAX_PIECES, key_splits
 
 
 def asof_join(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ MAX_PIECES = 4096
 # Accuracy of the quantiles at which a key is cut: ranks are off by at most
 # one part in this many, a twelfth of the smallest piece.
 SPLIT_ACCURACY = 12 * MAX_PIECES
+# Rows of one key that a single task sorts without trouble.
+HOT_ROWS = 10_000_000
 # Counted keys or split values up to this many are broadcast, some 16 MB; more
 # are joined by shuffle.
 BROADCAST_VALUES = 1_000_000
@@ -28,6 +32,25 @@ def heavy_keys(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > rows)
 
 
+def part_heavy(
+    df: DataFrame, by: Sequence[str], rows: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` without its keys of more than ``rows`` rows, and those keys' rows.
+
+    The second is None if there are no such keys; null is a key like any other.
+    The keys are written to the checkpoint folder, to be counted before they are
+    joined.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    heavy = heavy_keys(df, by, rows).drop("n_rows").checkpoint()
+    n_heavy = heavy.count()
+    if n_heavy == 0:
+        return df, None
+    keys = broadcast_up_to(heavy.toDF(*[f"_heavy_{k}" for k in by]), n_heavy)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_heavy_{k}")) for k in by])
+    return df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
+
+
 def key_splits(df: DataFrame, by: Sequence[str], order: str, rows: int) -> DataFrame | None:
     """Where to cut each key of more than ``rows`` rows into pieces of about that many.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quernwork.functions.measures import Measure, columns, merges, partials
 from quernwork.functions.times import micros
+from quernwork.operators.skew import HOT_ROWS, part_heavy
 
 _MICROSECOND = timedelta(microseconds=1)
 
@@ -69,13 +70,39 @@ def sessions(
     time: str,
     gap: timedelta,
     measures: Sequence[Measure],
+    hot_rows: int = HOT_ROWS,
     panes_per_block: int = PANES_PER_BLOCK,
 ) -> DataFrame:
     """Measures per session: rows of one key no more than ``gap`` apart.
 
-    A session runs from its first row to ``gap`` after its last, as in Spark's
-    ``session_window``. That function sends every row of a key to one task, so
-    this one works in three steps of bounded size:
+    A session runs from its first row to ``gap`` after its last. This is Spark's
+    ``session_window``, which brings all rows of a key to one task; keys of more
+    than ``hot_rows`` rows, found by a first look at the keys alone, take another
+    way to the same result.
+    """
+    dated = df.where(F.col(time).isNotNull())
+    rest, hot = part_heavy(dated, by, hot_rows)
+    window = F.session_window(time, micros(gap)).alias("_session")
+    found = rest.groupBy(*by, window).agg(*partials(measures)).select(
+        *by,
+        F.col("_session.start").alias("session_start"),
+        F.col("_session.end").alias("session_end"),
+        *columns(measures),
+    )
+    if hot is None:
+        return found
+    return found.unionByName(_hot_sessions(hot, by, time, gap, measures, panes_per_block))
+
+
+def _hot_sessions(
+    df: DataFrame,
+    by: Sequence[str],
+    time: str,
+    gap: timedelta,
+    measures: Sequence[Measure],
+    panes_per_block: int,
+) -> DataFrame:
+    """Sessions in three steps, none of which gathers the rows of a key.
 
     1. Rows within a pane as wide as the gap always share a session. They are
        aggregated, with the combining before the shuffle that this brings.

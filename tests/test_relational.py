@@ -22,6 +22,7 @@ from quernwork.operators import (
     having,
     heavy_keys,
     lacking,
+    part_heavy,
     roll_up,
     rollup_sets,
     top_k,
@@ -122,3 +123,11 @@ def test_cents(spark):
 def test_heavy_keys(spark):
     df = frame(spark, [(i, 0 if i < 50 else i, None, 0.0) for i in range(100)])
     assert [tuple(r) for r in heavy_keys(df, ["user"], 10).collect()] == [(0, 50)]
+
+
+def test_part_heavy_takes_null_as_a_key(spark):
+    df = frame(spark, [(i, None if i < 50 else i, None, 0.0) for i in range(100)])
+    rest, heavy = part_heavy(df, ["user"], 10)
+    assert (rest.count(), heavy.count()) == (50, 50)
+    assert heavy.where("user is not null").count() == 0
+    assert part_heavy(df, ["user"], 50)[1] is None

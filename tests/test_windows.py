@@ -56,26 +56,28 @@ def walked(rows, gap):
     )
 
 
+@pytest.mark.parametrize("hot_rows", [0, 60, 10_000])
 @pytest.mark.parametrize("panes_per_block", [1, 2, 5, 4096])
-def test_sessions_match_walk(spark, panes_per_block):
+def test_sessions_match_walk(spark, panes_per_block, hot_rows):
     rows = events(1, 400, span=20_000)
-    found = summed(sessions(frame(spark, rows), ["user"], "ts", GAP, measures(), panes_per_block))
+    found = summed(sessions(frame(spark, rows), ["user"], "ts", GAP, measures(), hot_rows, panes_per_block))
     ordered = found.select("user", "session_start", "session_end", "n", "low", "high", "sum")
     assert sorted_rows(ordered) == walked(rows, GAP)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 10_000])
 @pytest.mark.parametrize("panes_per_block", [1, 3])
-def test_sessions_at_exact_gaps(spark, panes_per_block):
+def test_sessions_at_exact_gaps(spark, panes_per_block, hot_rows):
     steps = [0, 60, 120, 180.000001, 241, 301.000002, 361.000002, 900, 959.999999]
     rows = [(i, 1, at(s), 1.0) for i, s in enumerate(steps)]
-    found = summed(sessions(frame(spark, rows), ["user"], "ts", GAP, measures(), panes_per_block))
+    found = summed(sessions(frame(spark, rows), ["user"], "ts", GAP, measures(), hot_rows, panes_per_block))
     ordered = found.select("user", "session_start", "session_end", "n", "low", "high", "sum")
     assert sorted_rows(ordered) == walked(rows, GAP)
 
 
 def test_sessions_match_spark(spark):
     df = frame(spark, events(2, 500, span=30_000))
-    own = sessions(df, ["user"], "ts", GAP, [count("n")], panes_per_block=4)
+    own = sessions(df, ["user"], "ts", GAP, [count("n")], hot_rows=0, panes_per_block=4)
     window = F.session_window("ts", "60 seconds").alias("w")
     theirs = df.groupBy("user", window).agg(F.count("*").alias("n"))
     assert sorted_rows(own) == sorted_rows(theirs.select("user", "w.start", "w.end", "n"))
