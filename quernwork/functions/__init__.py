@@ -11,7 +11,7 @@ from quernwork.functions.measures import (
     total,
 )
 from quernwork.functions.money import amount, cents, discounted, taxed
-from quernwork.functions.times import micros, sorted_rank
+from quernwork.functions.times import micros, with_rank
 
 __all__ = [
     "Measure",
@@ -25,7 +25,7 @@ __all__ = [
     "merges",
     "micros",
     "partials",
-    "sorted_rank",
     "taxed",
     "total",
+    "with_rank",
 ]

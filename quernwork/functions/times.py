@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,21 +13,17 @@ def micros(width: timedelta) -> str:
     return f"{width // timedelta(microseconds=1)} microseconds"
 
 
-def sorted_rank(values: Column, at: Column, capacity: int, inclusive: bool) -> Column:
-    """How many of the sorted ``values`` lie before ``at``, found by halving.
+def with_rank(df: DataFrame, values: str, at: str, longest: int, rank: str) -> DataFrame:
+    """``df`` with the number of elements of the sorted array ``values`` before ``at``.
 
-    With ``inclusive`` those equal to ``at`` count too. ``values`` must hold fewer
-    than ``capacity`` elements, a power of two. Where it is null the rank is 0.
+    No array is longer than ``longest``; where it is null the rank is 0. Each step
+    of the search by halves is a projection of its own, which stays in generated
+    code, unlike a lambda over the array. Filters on the rank would be copied
+    through those steps; join or group on it instead.
     """
-    steps = []
-    while capacity > 1:
-        capacity //= 2
-        steps.append(F.lit(capacity))
-
-    def advance(found: Column, step: Column) -> Column:
-        probe = F.get(values, found + step - 1)
-        passed = probe <= at if inclusive else probe < at
-        return found + F.when(passed, step).otherwise(0)
-
-    rank = F.aggregate(F.array(*steps), F.lit(0), advance)
-    return F.when(values.isNull(), F.lit(0)).otherwise(rank)
+    found = df.withColumn(rank, F.lit(0))
+    for power in reversed(range(longest.bit_length())):
+        step = 1 << power
+        passed = F.get(values, F.col(rank) + (step - 1)) < F.col(at)
+        found = found.withColumn(rank, F.col(rank) + F.when(passed, step).otherwise(0))
+    return found

@@ -12,10 +12,11 @@ from quernwork.operators.multisets import (
     union_distinct,
 )
 from quernwork.operators.ranking import top_k
-from quernwork.operators.skew import broadcast_up_to, heavy_keys, key_splits, part_heavy
+from quernwork.operators.skew import Splits, broadcast_up_to, heavy_keys, key_splits, part_heavy
 from quernwork.operators.windows import sessions, sliding, tumbling
 
 __all__ = [
+    "Splits",
     "asof_join",
     "broadcast_up_to",
     "cube_sets",

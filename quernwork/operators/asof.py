@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernwork.functions.times import sorted_rank
-from quernwork.operators.skew import HOT_ROWS, MAX_PIECES, key_splits
+from quernwork.functions.times import with_rank
+from quernwork.operators.skew import HOT_ROWS, Splits, key_splits
 
 
 def asof_join(
@@ -71,47 +71,66 @@ def _in_pieces(
     lefts: DataFrame,
     rights: DataFrame,
     by: Sequence[str],
-    splits: DataFrame,
+    splits: Splits,
     spread: Sequence[str],
     allow_equal: bool,
 ) -> DataFrame:
     """Both sides with the number of their piece, and each piece's starting row.
 
-    Left rows at a time that several splits share may go to any piece between
-    those splits. The right row at that time goes to the first of these pieces, or
-    to the last if equal times do not match, and reaches the others, or none, as
-    their starting row.
+    A row is in the piece numbered by the splits before its time. Left rows at a
+    time that is itself a split, perhaps several times over, may go to any piece
+    from that split to the last equal one. The right row at such a time goes to the
+    first of these pieces, or to the last if equal times do not match, and reaches
+    the others, or none, as their starting row. Only at such times can right rows
+    be many, and only there are they reduced to the greatest.
     """
-    splits_col = F.col("splits")
-    before = sorted_rank(splits_col, F.col("_time"), MAX_PIECES, inclusive=False)
-    upto = sorted_rank(splits_col, F.col("_time"), MAX_PIECES, inclusive=True)
-
+    point = [*by, "_time"]
+    table = splits.broadcast(splits.table)
+    cuts = splits.broadcast(
+        splits.table.select(*by, F.posexplode("splits").alias("_at", "_time"))
+        .groupBy(*point)
+        .agg(F.min("_at").alias("_low"), (F.max("_at") + 1).alias("_high"))
+    )
+    ranked = with_rank(lefts.join(table, list(by), "left"), "splits", "_time", splits.longest, "_rank")
+    room = F.coalesce(F.col("_high") - F.col("_low"), F.lit(0)) + 1
     salt = F.xxhash64(*[F.col(f"_left.{c}") for c in spread])
-    left_pieces = (
-        lefts.join(splits, list(by), "left")
-        .withColumn("_low", before)
-        .withColumn("_high", upto)
-        .withColumn("_piece", F.col("_low") + F.pmod(salt, F.col("_high") - F.col("_low") + 1).cast("int"))
-        .drop("splits", "_low", "_high")
+    left_pieces = ranked.join(cuts, point, "left").select(
+        *lefts.columns, (F.col("_rank") + F.pmod(salt, room).cast("int")).alias("_piece")
     )
-    placed = rights.join(splits, list(by), "left").withColumn("_piece", before if allow_equal else upto)
-    plain = placed.where(splits_col.isNull()).drop("splits")
-    hot = (
-        placed.where(splits_col.isNotNull())
-        .groupBy(*by, "_piece", "_time")
+
+    elsewhere = rights.join(cuts, point, "left_anti")
+    placed = with_rank(elsewhere.join(table, list(by), "left"), "splits", "_time", splits.longest, "_piece")
+    first_or_last = F.col("_low" if allow_equal else "_high").alias("_piece")
+    at_cuts = rights.join(cuts, point).groupBy(*point, first_or_last).agg(F.max("_right").alias("_right"))
+
+    in_hot_keys = with_rank(elsewhere.join(table, list(by)), "splits", "_time", splits.longest, "_piece")
+    last_times = in_hot_keys.groupBy(*by, "_piece").agg(F.max("_time").alias("_time"))
+    last_rows = (
+        rights.join(splits.broadcast(last_times), point)
+        .groupBy(*point, "_piece")
         .agg(F.max("_right").alias("_right"))
     )
-    ends = hot.groupBy(*by, "_piece").agg(F.max_by("_right", "_time").alias("_end"))
+    starts = _starting_rows(last_rows.unionByName(at_cuts), by, splits)
+    rights_all = placed.drop("splits").unionByName(at_cuts).unionByName(starts, allowMissingColumns=True)
+    return _laid_out(left_pieces, rights_all)
+
+
+def _starting_rows(ends: DataFrame, by: Sequence[str], splits: Splits) -> DataFrame:
+    """For each piece, the last right row of the pieces before it, without a time.
+
+    ``ends`` has the last row of each piece among at most two.
+    """
+    place = [*by, "_piece"]
+    last = ends.groupBy(*place).agg(F.max(F.struct("_time", "_right"))["_right"].alias("_end"))
     earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        splits.select(*by, F.explode(F.sequence(F.lit(0), F.size("splits"))).alias("_piece"))
-        .join(ends, [*by, "_piece"], "left")
+    pieces = F.explode(F.sequence(F.lit(0), F.size("splits"))).alias("_piece")
+    return (
+        splits.table.select(*by, pieces)
+        .join(splits.broadcast(last), place, "left")
         .withColumn("_right", F.last("_end", ignorenulls=True).over(earlier))
         .where(F.col("_right").isNotNull())
         .drop("_end")
     )
-    rights_all = plain.unionByName(hot).unionByName(starts, allowMissingColumns=True)
-    return _laid_out(left_pieces, rights_all)
 
 
 def _last_right(pieces: DataFrame, by: Sequence[str], allow_equal: bool) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -51,11 +52,28 @@ def part_heavy(
     return df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
 
 
-def key_splits(df: DataFrame, by: Sequence[str], order: str, rows: int) -> DataFrame | None:
+@dataclass(frozen=True)
+class Splits:
+    """Where keys are cut: ``table`` has the key and ``splits``, a sorted array.
+
+    ``n_values`` is the number of elements of all arrays, ``longest`` the length
+    of the longest. A key with n elements has n + 1 pieces, numbered from 0.
+    """
+
+    table: DataFrame
+    n_values: int
+    longest: int
+
+    def broadcast(self, df: DataFrame) -> DataFrame:
+        """``df``, with at most two rows for each value here, marked if that is few."""
+        return broadcast_up_to(df, 2 * self.n_values)
+
+
+def key_splits(df: DataFrame, by: Sequence[str], order: str, rows: int) -> Splits | None:
     """Where to cut each key of more than ``rows`` rows into pieces of about that many.
 
-    Gives the key and ``splits``, a sorted array of values of ``order``. A value
-    that many rows share occurs in it several times. None if no key is so large.
+    A key is cut at values of ``order``. A value that many rows share occurs
+    several times among them. None if no key is so large.
 
     Both results are written to the checkpoint folder: the keys to be counted
     before they are joined, the splits because quantile sketches may differ
@@ -81,8 +99,8 @@ def key_splits(df: DataFrame, by: Sequence[str], order: str, rows: int) -> DataF
         .select(*by, chosen.alias("splits"))
         .checkpoint()
     )
-    points = splits.agg(F.sum(F.size("splits"))).first()[0]
-    return broadcast_up_to(splits, points)
+    n_values, longest = splits.agg(F.sum(F.size("splits")), F.max(F.size("splits"))).first()
+    return Splits(splits, n_values, longest)
 
 
 def broadcast_up_to(df: DataFrame, size: int, limit: int = BROADCAST_VALUES) -> DataFrame:

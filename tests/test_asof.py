@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quernwork.functions import sorted_rank
+from quernwork.functions import with_rank
 from quernwork.operators import asof_join, key_splits
+from quernwork.operators.asof import _in_pieces
 from tests.fixtures import at, events, frame, sorted_rows
 
 
@@ -63,7 +64,7 @@ def test_two_keys(spark):
 
 def test_splits_cut_large_keys_evenly(spark):
     rows = [(i, 0 if i % 3 else 1 + i % 50, at(i // 2), 0.0) for i in range(6000)]
-    splits = key_splits(frame(spark, rows), ["user"], "ts", 500).collect()
+    splits = key_splits(frame(spark, rows), ["user"], "ts", 500).table.collect()
     assert [r["user"] for r in splits] == [0]
     cuts = splits[0]["splits"]
     assert len(cuts) == 7  # 4000 rows in pieces of 500
@@ -82,20 +83,23 @@ def test_one_crowded_time_is_spread(spark):
     rows = [(i, 0, at(5), 0.0) for i in range(1000)]
     df = frame(spark, rows)
     splits = key_splits(df, ["user"], "ts", 100)
-    low = sorted_rank(F.col("splits"), F.col("ts"), 4096, inclusive=False)
-    high = sorted_rank(F.col("splits"), F.col("ts"), 4096, inclusive=True)
-    ranks = df.join(splits, "user").select(low.alias("low"), high.alias("high")).distinct()
-    assert [tuple(r) for r in ranks.collect()] == [(0, 9)]
+    assert (splits.n_values, splits.longest) == (9, 9)
+    points = df.select("user", F.col("ts").alias("_time"))
+    lefts = points.withColumn("_left", F.struct(F.monotonically_increasing_id().alias("id")))
+    rights = points.withColumn("_right", F.struct(F.lit(1).alias("id")))
+    for allow_equal in (True, False):
+        pieces = _in_pieces(lefts, rights, ["user"], splits, ["id"], allow_equal)
+        left_sizes = pieces.where("_left is not null").groupBy("_piece").count().collect()
+        assert len(left_sizes) == 10
+        assert max(r["count"] for r in left_sizes) < 150
+        assert pieces.where("_right is not null and _time is not null").count() == 1
 
 
 def test_rank_among_sorted(spark):
     values = [1, 3, 3, 3, 8, 9, 20]
     df = spark.range(0, 25).withColumn("values", F.array(*[F.lit(v) for v in values]))
-    rows = df.select(
-        "id",
-        sorted_rank(F.col("values"), F.col("id"), 8, inclusive=True).alias("upto"),
-        sorted_rank(F.col("values"), F.col("id"), 8, inclusive=False).alias("before"),
-    ).collect()
-    for r in rows:
-        assert r["upto"] == sum(v <= r["id"] for v in values)
-        assert r["before"] == sum(v < r["id"] for v in values)
+    for longest in (7, 8, 100):
+        for r in with_rank(df, "values", "id", longest, "rank").collect():
+            assert r["rank"] == sum(v < r["id"] for v in values)
+    missing = df.withColumn("values", F.lit(None).cast("array<bigint>"))
+    assert with_rank(missing, "values", "id", 7, "rank").agg(F.max("rank")).first()[0] == 0
