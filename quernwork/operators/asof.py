@@ -33,7 +33,8 @@ def asof_join(
     Both tables are laid in one time line per key, and each left row takes the
     last right row before it: one shuffle and no pairs. A key with more than
     ``hot_rows`` rows is cut into pieces of its time line, and each piece starts
-    with the last right row of the pieces before it.
+    with the last right row of the pieces before it. To find such keys both tables
+    are read once more, and again if there are any: write costly inputs out first.
     """
     found = [F.col(column).alias(name) for name, column in take.items()]
     dated = _all_present([*by, left_time])

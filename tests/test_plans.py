@@ -70,6 +70,7 @@ EXCHANGES = {
     "top_orders_per_priority": 1,
     "events_per_day": 1,
     "events_sliding": 2,  # panes, windows
+    "user_sessions": 1,
     "event_before_purchase": 1,
 }
 
