@@ -1,11 +1,15 @@
 """Physical plans of the registered queries: what they scan, shuffle and avoid."""
 
 import re
+from datetime import timedelta
 
 import pytest
 
+from quernwork.functions import count
+from quernwork.operators import asof_join, except_all, sessions
 from quernwork.plans import registered
 from quernwork.sources import Tables
+from tests.fixtures import events, frame
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -87,3 +91,30 @@ def test_fact_rows_are_combined_before_their_shuffle(plans):
         scan = next(i for i, line in enumerate(lines) if "FileScan" in line)
         last = max(i for i, line in enumerate(lines[:scan]) if re.search(r"\bExchange hash", line))
         assert "partial_" in lines[last + 1], name
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_both_ways_of_a_result_read_one_shuffle(spark):
+    """Short and long runs of copies, settled and open sessions: each pair shares its input."""
+    left, right = (spark.range(n).selectExpr("id % 7 as k") for n in (700, 70))
+    few_and_many = except_all(left.unionAll(spark.range(3)), right, chunk=50)
+    assert "ReusedExchange" in final_plan(few_and_many)
+
+    df = frame(spark, events(1, 400, span=20_000))
+    gap = timedelta(seconds=60)
+    found = sessions(df, ["user"], "ts", gap, [count("n")], hot_rows=0, panes_per_block=3)
+    assert "ReusedExchange" in final_plan(found)
+
+
+def test_a_hot_key_takes_no_join_of_its_rows(spark):
+    """Key lists and splits, whose size was counted, are all that as-of joins with."""
+    df = frame(spark, events(2, 400))
+    joined = asof_join(df, df, ["user"], "ts", "ts", {"then": "ts"}, ["id"], hot_rows=40)
+    plan = final_plan(joined)
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
