@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from quernwork.llm import q10_mixing
+from quernwork.llm import q01_chat, q10_mixing
 from quernwork.sources import Tables
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
+    "op1_chat_formatting": q01_chat.run,
     "op10_mixing": q10_mixing.run,
 }
 ORACLES: dict[str, str] = {
