@@ -1,0 +1,76 @@
+"""The transducer against the library that defines the encoding."""
+
+import hashlib
+
+import public_tokenizers
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quernwork.llm.bpe import Transducer, Utf8Reader, codec, read_ranks
+from quernwork.llm.q03_bpe import run
+from quernwork.sources import Tables
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS = read_ranks(PATH)
+LIBRARY = tiktoken.Encoding(
+    "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={}
+)
+OURS = codec(PATH, public_tokenizers.PATTERN)
+TEXTS = st.text() | st.text("abehtrn A \n'\t\x85\x1cés日😀01.,=", max_size=80)
+
+
+@settings(max_examples=600, deadline=None)
+@given(TEXTS.filter(lambda t: t.isprintable() or t.encode("utf-8", "ignore").decode() == t))
+def test_same_as_the_library(text):
+    ids = OURS.encode(text)
+    assert ids == LIBRARY.encode_ordinary(text)
+    assert "".join(OURS.decode(ids)) == text
+
+
+def test_long_pieces():
+    for text in ("a" * 20_000, " " * 3000 + "x", "ab" * 9000, "=-" * 5000 + "é" * 3000):
+        assert OURS.encode(text) == LIBRARY.encode_ordinary(text)
+
+
+def test_vocabulary_whose_tokens_do_not_all_merge():
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"cd": 257, b"bcd": 258, b"ab": 259}
+    library = tiktoken.Encoding("x", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    ours = Transducer(ranks)
+    for text in ("abc", "abcd", "ababc", "cdcd", "bcdabc", "abab", "aabcc"):
+        assert list(ours.encode(text.encode())) == library.encode_ordinary(text)
+
+
+@given(st.text(), st.lists(st.integers(0, 255), max_size=8), st.integers(1, 5))
+def test_utf8_in_parts(text, noise, step):
+    whole = text.encode("utf-8", "replace") + bytes(noise) + text.encode("utf-8", "replace")
+    reader = Utf8Reader()
+    found = "".join(reader.feed(whole[i : i + step]) for i in range(0, len(whole), step))
+    assert found + reader.finish() == whole.decode("utf-8", "replace")
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def expected(rows):
+    out = []
+    for doc_id, text in rows:
+        ids = LIBRARY.encode_ordinary(text or "")
+        out.append((doc_id, len(ids), digest(" ".join(map(str, ids))), digest(text or "")))
+    return sorted(out, key=str)
+
+
+def test_query_on_all_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in Tables(spark, folder).read("documents", "doc_id", "text").collect()]
+    assert sorted(map(tuple, run(Tables(spark, folder)).collect()), key=str) == expected(rows)
+
+
+def test_odd_rows(spark, tmp_path):
+    rows = [(1, None), (2, ""), (None, "a b"), (3, "x  y \n" * 50_000), (3, "same"), (3, "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS decoded")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, run(Tables(spark, str(tmp_path))).collect()), key=str) == expected(rows)
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert run(Tables(spark, f"{tmp_path}/none")).collect() == []
