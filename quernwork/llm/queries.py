@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from quernwork.llm import q01_chat, q02_topk, q03_bpe, q08_token_counts, q10_mixing
+from quernwork.llm import (
+    q01_chat,
+    q02_topk,
+    q03_bpe,
+    q05_fingerprints,
+    q08_token_counts,
+    q10_mixing,
+)
 from quernwork.sources import Tables
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "op1_chat_formatting": q01_chat.run,
     "op2_exact_topk": q02_topk.run,
     "op3_byte_bpe": q03_bpe.run,
+    "op5_lz_fingerprints": q05_fingerprints.run,
     "op8_token_counts": q08_token_counts.run,
     "op10_mixing": q10_mixing.run,
 }
