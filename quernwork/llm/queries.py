@@ -11,6 +11,7 @@ from quernwork.llm import (
     q02_topk,
     q03_bpe,
     q05_fingerprints,
+    q06_quality,
     q08_token_counts,
     q10_mixing,
 )
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "op2_exact_topk": q02_topk.run,
     "op3_byte_bpe": q03_bpe.run,
     "op5_lz_fingerprints": q05_fingerprints.run,
+    "op6_quality_classifier": q06_quality.run,
     "op8_token_counts": q08_token_counts.run,
     "op10_mixing": q10_mixing.run,
 }
