@@ -13,6 +13,7 @@ from quernwork.llm import (
     q05_fingerprints,
     q06_quality,
     q08_token_counts,
+    q09_simhash,
     q10_mixing,
 )
 from quernwork.sources import Tables
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "op5_lz_fingerprints": q05_fingerprints.run,
     "op6_quality_classifier": q06_quality.run,
     "op8_token_counts": q08_token_counts.run,
+    "op9_simhash": q09_simhash.run,
     "op10_mixing": q10_mixing.run,
 }
 ORACLES: dict[str, str] = {
