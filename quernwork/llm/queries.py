@@ -10,6 +10,7 @@ from quernwork.llm import (
     q01_chat,
     q02_topk,
     q03_bpe,
+    q04_repeats,
     q05_fingerprints,
     q06_quality,
     q08_token_counts,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "op1_chat_formatting": q01_chat.run,
     "op2_exact_topk": q02_topk.run,
     "op3_byte_bpe": q03_bpe.run,
+    "op4_suffix_array_dedup": q04_repeats.run,
     "op5_lz_fingerprints": q05_fingerprints.run,
     "op6_quality_classifier": q06_quality.run,
     "op8_token_counts": q08_token_counts.run,
