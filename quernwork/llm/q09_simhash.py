@@ -17,6 +17,6 @@ def run(tables: Tables) -> DataFrame:
     prints = stored(rows.select("doc_id", fingerprint(F.col("text")).alias("print")), "prints")
     return classes(prints, "doc_id", "print").select(
         "doc_id",
-        F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
+        F.lower(F.hex("print")).alias("fingerprint"),
         "component_id",
     )

@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from quernwork.llm.anchors import SPAN, WINDOW, runs
 from quernwork.llm.bwt import Shard, interleave
@@ -342,7 +343,7 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
         r["anchor"]
         for r in settled.where("anchor >= 0").groupBy("anchor").count().where(F.col("count") > LARGE).collect()
     )
-    pack = _packed(text)
+    pack = _packed()
 
     def beside(items: DataFrame, carried: list[str]) -> DataFrame:
         """Texts and the rows of ``items`` that belong to them, the texts first."""
@@ -408,10 +409,8 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
     return removed.select(*kept, F.struct(*[f.name for f in added]).alias(into))
 
 
-def _packed(text: str):
+def _packed():
     """Texts as compressed bytes, with the hash that tells texts of one id apart."""
-    from pyspark.sql.functions import arrow_udf
-
     @arrow_udf("mark long, data binary")
     def run(texts: pa.Array) -> pa.Array:
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -420,3 +419,13 @@ def _packed(text: str):
         return pa.StructArray.from_arrays([marks, pa.array([pack(d) for d in data], pa.binary())], ["mark", "data"])
 
     return run
+
+
+def readable(data: Column) -> Column:
+    """Bytes as text, without what is left of characters that were cut."""
+
+    @arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([v.decode("utf-8", "ignore") for v in values.to_pylist()], pa.string())
+
+    return run(data)

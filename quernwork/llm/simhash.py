@@ -12,7 +12,7 @@ within one bit. Whatever meets in a shard is compared exactly, over all 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,37 +37,44 @@ LARGE = 100_000
 BLOCK = 256
 
 
-def simhash(text: str, size: int = SHINGLE) -> int:
+def simhash(text: str, size: int = SHINGLE, words: int = 1) -> bytes:
     """The fingerprint of a text: bits set in over half the hashes of its shingles.
 
     A-Z are lower-cased, words are runs of anything but ASCII white space, shingles
     are ``size`` words joined by spaces, repeats included. A shorter text is one
-    shingle; a text without words has fingerprint 0.
+    shingle; a text without words has all bits 0. Further ``words`` of 64 bits take
+    the same hashes, mixed once more.
     """
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    size = min(size, len(words))
-    starts = np.concatenate([[0], ends[: len(words) - size] + 1]).tolist()
+    found = text.encode().lower().split()
+    if not found:
+        return bytes(8 * words)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    size = min(size, len(found))
+    starts = np.concatenate([[0], ends[: len(found) - size] + 1]).tolist()
     hashes = np.array(
-        [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())], ">u8"
+        [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64
     )
-    set_ = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8)).reshape(-1, 64)
-        set_ += part.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_ * 2 > len(hashes)).view(">u8")[0])
-
-
-def fingerprint(text: Column, size: int = SHINGLE) -> Column:
-    """The fingerprint of every text as a long; null texts are empty."""
-
-    @arrow_udf("long")
+    out = []
+    for word in range(words):
+        if word:
+            hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            hashes ^= hashes >> np.uint64(31)
+        set_ = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            part = hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8)
+            set_ += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(set_ * 2 > len(hashes)).tobytes())
+    return b"".join(out)
+
+
+def fingerprint(text: Column, size: int = SHINGLE, words: int = 1) -> Column:
+    """The fingerprint of every text as ``words`` times 8 bytes; null texts are empty."""
+
+    @arrow_udf("binary")
     def run(texts: pa.Array) -> pa.Array:
-        found = np.array([simhash(t or "", size) for t in texts.to_pylist()], np.uint64)
-        return pa.array(found.view(np.int64), pa.int64())
+        return pa.array([simhash(t or "", size, words) for t in texts.to_pylist()], pa.binary())
 
     return run(text)
 
@@ -123,13 +130,17 @@ def visits(values: np.ndarray, reach: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(found)
 
 
+def _matrix(prints: list[bytes]) -> np.ndarray:
+    """Fingerprints as rows of words."""
+    return np.frombuffer(b"".join(prints), ">u8").astype(np.uint64).reshape(len(prints), -1)
+
+
 def _quarter(prints: np.ndarray, q: int) -> np.ndarray:
-    return ((prints >> np.uint64(16 * q)) & np.uint64(VALUES - 1)).astype(np.uint16)
+    word = prints[:, q // QUARTERS] >> np.uint64(16 * (q % QUARTERS))
+    return (word & np.uint64(VALUES - 1)).astype(np.uint16)
 
 
-def _deal(
-    batches: Iterator[pa.RecordBatch], large: frozenset[int], neighbours
-) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], large: frozenset[int], neighbours) -> Iterator[pa.RecordBatch]:
     """Each fingerprint to the shard it lives in and those it asks at, for each quarter.
 
     A pair that meets at two different values of a quarter meets once: the larger
@@ -138,8 +149,12 @@ def _deal(
     """
     starts, targets = neighbours
     for batch in batches:
-        prints = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
-        for q in range(QUARTERS):
+        if not batch.num_rows:
+            continue
+        vertices, raw = batch.column(0), batch.column(1)
+        prints = _matrix(raw.to_pylist())
+        quarters = QUARTERS * prints.shape[1]
+        for q in range(quarters):
             values = _quarter(prints, q).astype(np.int64)
             n = starts[values + 1] - starts[values]
             at = np.repeat(np.arange(len(values)), n)
@@ -149,76 +164,84 @@ def _deal(
             at, leaf = at[keep], leaf[keep]
             key, asks = q * VALUES + leaf, leaf != values[at]
             hot = np.isin(key, list(large)) if large else np.zeros(len(key), bool)
-            rows = [(key[~hot], asks[~hot], prints[at[~hot]])]
-            for other in range(QUARTERS) if hot.any() else ():
+            rows = [(key[~hot], asks[~hot], at[~hot])]
+            for other in range(quarters) if hot.any() else ():
                 if other != q:
-                    again = prints[at[hot]]
-                    beside, near = visits(_quarter(again, other))
-                    second = (key[hot][beside] * QUARTERS + other) * VALUES + near
-                    asks_too = asks[hot][beside] | (near != _quarter(again[beside], other))
-                    rows.append((-1 - second, asks_too, again[beside]))
+                    again = _quarter(prints[at[hot]], other)
+                    beside, near = visits(again)
+                    second = (key[hot][beside] * quarters + other) * VALUES + near
+                    asks_too = asks[hot][beside] | (near != again[beside])
+                    rows.append((-1 - second, asks_too, at[hot][beside]))
             for keys, asking, owners in rows:
                 if len(keys):
-                    arrays = [pa.array(keys), pa.array(asking), pa.array(owners.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["shard", "asks", "print"])
+                    arrays = [pa.array(keys), pa.array(asking), vertices.take(pa.array(owners))]
+                    arrays.append(raw.take(pa.array(owners)))
+                    yield pa.RecordBatch.from_arrays(arrays, ["shard", "asks", "vertex", "print"])
 
 
-def _spread(found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that hold together whatever links hold together, at most one for each print.
+def _near(one: np.ndarray, others: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``others`` are within ``bits`` of each of ``one``; both rows of words."""
+    away = np.zeros((len(one), len(others)), np.uint16)
+    for word in range(one.shape[1]):
+        away += np.bitwise_count(one[:, word, None] ^ others[None, :, word])
+    return away <= bits
 
-    From one print to all that are near and not yet reached, and on from those.
+
+def _spread(prints: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Links between rows that hold together whatever links hold together.
+
+    At most one for each row: from one to all that are near and not yet reached, and
+    on from those.
     """
-    left = found
+    left = np.arange(len(prints))
     while len(left):
         reached, left = [int(left[0])], left[1:]
         while reached and len(left):
             at = reached.pop()
-            near = np.bitwise_count(left ^ np.uint64(at)) <= BITS
+            near = _near(prints[at : at + 1], prints[left], bits)[0]
             if near.any():
-                hits = left[near]
-                yield np.full(len(hits), at, np.uint64), hits
-                reached += hits.tolist()
+                yield at, left[near]
+                reached += left[near].tolist()
                 left = left[~near]
-        # What is still in ``reached`` has nothing left to reach.
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """The links of each shard; those that live there come first, then those that ask."""
     shard, home, asking, out = None, [], [], []
 
     def links() -> None:
-        here = np.array(home, np.int64).view(np.uint64)
-        every = np.array(home + asking, np.int64).view(np.uint64)
-        linked_here, linked = np.zeros(len(here), bool), []
-        # Rows of living prints, which in the first part of ``every`` meet themselves.
+        every = home + asking
+        prints = _matrix([p for _, p in every])
+        here = prints[: len(home)]
+        linked = np.zeros(len(every), bool)
         for i in range(0, len(every), BLOCK):
-            part = every[i : i + BLOCK]
-            near = np.bitwise_count(part[:, None] ^ here[None, :]) <= BITS
-            if i < len(here):
-                rows = np.arange(i, min(i + BLOCK, len(here)))
-                near[rows - i, rows] = False
+            near = _near(prints[i : i + BLOCK], here, bits)
+            # Those that live here meet themselves.
+            own = np.arange(i, min(i + BLOCK, len(home)))
+            near[own - i, own] = False
             if near.any():
-                linked.append(part[near.any(axis=1)])
-                linked_here |= near.any(axis=0)
-        if linked:
-            found = np.unique(np.concatenate([*linked, here[linked_here]]))
-            out.extend(_spread(found))
+                linked[i : i + BLOCK] |= near.any(axis=1)
+                linked[: len(home)] |= near.any(axis=0)
+        rows = np.flatnonzero(linked)
+        if len(rows):
+            for at, hits in _spread(prints[rows], bits):
+                one = every[rows[at]][0]
+                out.extend((one, every[i][0]) for i in rows[hits].tolist())
 
     def block() -> pa.RecordBatch:
-        pairs = [np.concatenate(side).astype(np.uint64) for side in zip(*out)] or [np.zeros(0, np.uint64)] * 2
+        arrays = [pa.array(side, pa.int64()) for side in zip(*out)]
         out.clear()
-        arrays = [pa.array(side.view(np.int64)) for side in pairs]
         return pa.RecordBatch.from_arrays(arrays, ["a", "b"])
 
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(3)]
-        for key, asks, print_ in zip(*columns):
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        for key, asks, vertex, print_ in zip(*columns):
             if key != shard:
                 if home and len(home) + len(asking) > 1:
                     links()
                 shard, home, asking = key, [], []
-            (asking if asks else home).append(print_)
-            if asks and len(asking) >= 1 << 20:
+            (asking if asks else home).append((vertex, print_))
+            if len(asking) >= 1 << 20:
                 # Whoever asks is compared with those that live here, a part at a time.
                 links()
                 asking = []
@@ -230,32 +253,45 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def links(prints: DataFrame, column: str, large: int = LARGE) -> DataFrame:
-    """Links ``a`` - ``b`` between distinct fingerprints that hold together all that link.
+def links(prints: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
+    """Links ``a`` - ``b`` of vertices that hold together all fingerprints that link.
 
-    Every two fingerprints at ``BITS`` or fewer differing bits are joined by a path of
-    the links given, and only those. A shard gives at most one link for each of its
-    fingerprints, whatever the number of pairs.
+    ``prints`` has a row for each distinct fingerprint: ``vertex`` (long) and
+    ``print`` (bytes). Fingerprints of 64 bits at 4 or fewer differing bits are all
+    joined by a path of the links given, and only those. A shard gives at most one
+    link for each of its fingerprints, whatever the number of pairs.
 
-    How many fingerprints each of the 4 x 65,536 values has is counted first; these
-    counts, bounded by that number, are all that comes to the driver.
+    How many fingerprints each of the 65,536 values of a quarter has is counted first;
+    these counts, bounded by that number, are all that comes to the driver.
     """
     spark = prints.sparkSession
-    quarter = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.shiftrightunsigned(F.col(column), 16 * q).bitwiseAND(VALUES - 1).alias("v")) for q in range(QUARTERS)]))
-    counts = prints.select(quarter.alias("x")).groupBy("x").count().where(F.col("count") > large)
-    hot = frozenset(r["x"]["q"] * VALUES + r["x"]["v"] for r in counts.collect())
+    last = F.floor(F.length("print") / 2).cast("int") - 1
+    digits = F.explode(F.sequence(F.lit(0), last)).alias("i")
+    counts = (
+        prints.select("print", digits)
+        .select("i", F.substring(F.hex("print"), F.col("i") * 4 + 1, F.lit(4)).alias("v"))
+        .groupBy("i", "v")
+        .count()
+        .where(F.col("count") > large)
+    )
+    # Quarters are numbered from the lowest in each word, hex digits from the highest.
+    hot = frozenset(
+        (int(r["i"]) // QUARTERS * QUARTERS + QUARTERS - 1 - int(r["i"]) % QUARTERS) * VALUES + int(r["v"], 16)
+        for r in counts.collect()
+    )
     at, leaf = visits(np.arange(VALUES, dtype=np.uint16))
     order = np.lexsort((leaf, at))
     starts = np.searchsorted(at[order], np.arange(VALUES + 1))
     shared = spark.sparkContext.broadcast((starts, leaf[order]))
     bounded_batches(spark)
-    dealt = prints.select(F.col(column).alias("print")).mapInArrow(
-        lambda batches: _deal(batches, hot, shared.value), "shard long, asks boolean, print long"
+    dealt = prints.select("vertex", "print").mapInArrow(
+        lambda batches: _deal(batches, hot, shared.value),
+        "shard long, asks boolean, vertex long, print binary",
     )
     found = (
         dealt.repartition(partitions(spark), "shard")
-        .sortWithinPartitions("shard", "asks", "print")
-        .mapInArrow(_compare, "a long, b long")
+        .sortWithinPartitions("shard", "asks", "vertex")
+        .mapInArrow(lambda batches: _compare(batches, bits), "a long, b long")
     )
     return found.distinct()
 
@@ -289,19 +325,27 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.selectExpr("u AS vertex", "v AS root").unionByName(roots)
 
 
-def classes(rows: DataFrame, id_: str, column: str) -> DataFrame:
-    """Every row's ``id_``, fingerprint and ``component_id``: the smallest id it links to.
+def classes(rows: DataFrame, id_: str, column: str, bits: int = BITS) -> DataFrame:
+    """Every row with its ``component_id``: the smallest id it is linked to.
 
-    ``rows`` has an id and a fingerprint (long) and should be a written table, as it is
-    read twice. Copies meet once, as one fingerprint. A fingerprint may have any share
-    of the rows: the last join leaves the splitting of such keys to Spark. Null ids get
-    a class, but name none unless all of it are null.
+    ``rows`` has an id and a fingerprint (bytes) and should be a written table, as it
+    is read twice. Copies meet once, as one fingerprint. A fingerprint may have any
+    share of the rows: the last join leaves the splitting of such keys to Spark. Null
+    ids get a class, but name none unless all of it are null. Also adds ``root``, a
+    number that stands for the class.
     """
-    owners = durable(rows.groupBy(column).agg(F.min(id_).alias("least")))
-    roots = durable(components(links(owners.select(column), column)))
-    named = owners.join(roots, owners[column] == roots["vertex"], "left").select(
-        owners[column], "least", F.coalesce("root", owners[column]).alias("root")
+    # A fingerprint of 8 bytes is a number itself, a longer one has a hash.
+    number = F.conv(F.hex(column), 16, -10).cast("long")
+    vertex = F.when(F.length(column) == 8, number).otherwise(F.xxhash64(column))
+    owners = durable(
+        rows.groupBy(column)
+        .agg(F.min(id_).alias("least"))
+        .select("least", F.col(column).alias("print"), vertex.alias("vertex"))
+    )
+    roots = durable(components(links(owners, bits)))
+    named = owners.join(roots, "vertex", "left").select(
+        "print", "least", F.coalesce("root", "vertex").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(smallest, "root").select(column, "component_id")
-    return rows.select(id_, column).join(names, column)
+    names = named.join(smallest, "root").select(F.col("print").alias(column), "component_id", "root")
+    return rows.join(names, column)

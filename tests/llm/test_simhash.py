@@ -42,13 +42,9 @@ def brute(rows):
     return sorted(((id_, p, least[find(i)]) for i, (id_, p) in enumerate(rows)), key=str)
 
 
-def signed(p):
-    return p - 2**64 if p >= 2**63 else p
-
-
 @pytest.mark.parametrize("large", [100_000, 20])
 def test_classes_of_made_up_prints(spark, monkeypatch, large):
-    monkeypatch.setattr(module.links, "__defaults__", (large,))
+    monkeypatch.setattr(module.links, "__defaults__", (4, large))
     rnd = random.Random(large)
     prints = [rnd.getrandbits(64) for _ in range(300)] + [0, 0, 2**64 - 1]
     for _ in range(1500):
@@ -57,8 +53,10 @@ def test_classes_of_made_up_prints(spark, monkeypatch, large):
             p ^= 1 << b
         prints.append(p)
     rows = [(i * 7 % 5003, p) for i, p in enumerate(prints)] + [(None, prints[0]), (None, 12345)]
-    df = spark.createDataFrame([(i, signed(p)) for i, p in rows], "doc_id long, print long")
-    found = [(r[0], r[1] % 2**64, r[2]) for r in classes(df, "doc_id", "print").select("doc_id", "print", "component_id").collect()]
+    packed = [(i, p.to_bytes(8, "big")) for i, p in rows]
+    df = spark.createDataFrame(packed, "doc_id long, print binary")
+    found = classes(df, "doc_id", "print").select("doc_id", "print", "component_id").collect()
+    found = [(r[0], int.from_bytes(r[1], "big"), r[2]) for r in found]
     assert sorted(found, key=str) == brute(rows)
 
 
@@ -74,9 +72,24 @@ def test_long_chain(spark):
     assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(201)}
 
 
+def test_longer_fingerprints_find_near_copies(spark):
+    rnd, rows = random.Random(2), []
+    for i in range(120):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(6):
+            words[rnd.randrange(300)] = "other"
+        rows.append((2 * i + 1, " ".join(words)))
+    packed = [(i, simhash(t, 5, 2)) for i, t in rows]
+    df = spark.createDataFrame(packed, "doc_id long, print binary")
+    found = {r[0]: r[1] for r in classes(df, "doc_id", "print", 24).select("doc_id", "component_id").collect()}
+    assert all(found[2 * i] == 2 * i for i in range(120))
+    assert sum(found[2 * i + 1] == 2 * i for i in range(120)) > 108
+
+
 def test_fingerprints():
     for text in ("", "One two", "A b C d", "x " * 999, "the quick Brown fox\n jumps É over", "\x0b a\x1cb c d e f"):
-        assert simhash(text) == plain(text)
+        assert simhash(text) == plain(text).to_bytes(8, "big")
 
 
 def test_query_on_all_documents(spark):
