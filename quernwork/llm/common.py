@@ -13,9 +13,9 @@ from quernwork.sources.shared import ensure_checkpoint_dir, new_folder
 BATCH_ROWS = 1024
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep the Arrow batches that go to Python small in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def free_name(taken: Iterable[str], base: str) -> str:

@@ -13,6 +13,7 @@ from quernwork.llm import (
     q04_repeats,
     q05_fingerprints,
     q06_quality,
+    q07_lm,
     q08_token_counts,
     q09_simhash,
     q10_mixing,
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "op4_suffix_array_dedup": q04_repeats.run,
     "op5_lz_fingerprints": q05_fingerprints.run,
     "op6_quality_classifier": q06_quality.run,
+    "op7_kneser_ney": q07_lm.run,
     "op8_token_counts": q08_token_counts.run,
     "op9_simhash": q09_simhash.run,
     "op10_mixing": q10_mixing.run,
