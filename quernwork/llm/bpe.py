@@ -1,14 +1,16 @@
 """Byte-level BPE as a transducer that is made deterministic while it runs.
 
-The tokens of a text's first n bytes end in exactly one token that may follow the
-token before it. So a left-to-right reader needs no merges: it keeps the places
-where a token may still be growing, each with the tokens that lead there, and with
-every byte finds the one token that ends here. Tokens on which all these places
-agree can no longer change and are emitted. A token has at most as many bytes as
-the longest of the vocabulary, which bounds how far the reader looks ahead.
-
-What the reader keeps, apart from what it has emitted, is the state of a finite
-transducer. Its states and moves are made when a text first needs them.
+The tokens of a text's first n bytes end in exactly one token that may follow the token
+before it. So a left-to-right reader needs no merges: at every byte it finds the one
+token that ends here and may follow the token that ends where it begins.
+
+What the reader must know of the bytes so far is the longest end of them with which a
+token may still begin. These ends are the states of a finite transducer. Which one
+follows on a byte, and which tokens end there, is worked out when a text first asks.
+
+A token may begin only at the end of the text or within its state, and all tokens before
+those places agree from some place back. They are sure, and emitted; as no state is as
+long as the longest token, the reader looks ahead no further than that.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
-# States that a worker keeps, and texts with their tokens in each of two generations;
-# beyond that the older ones are forgotten, which changes no token.
-MOST_STATES = 100_000
-MOST_TEXTS = 150_000
+# Pairs of tokens, and texts with their tokens in each of two generations, that a
+# worker keeps; beyond that older ones are forgotten, which changes no token.
+MOST_PAIRS = 500_000
+MOST_TEXTS = 250_000
 # Tokens decoded at a time.
 DECODED = 4096
 
-ROOT = 0
+# Bytes of a piece after which sure tokens are emitted.
+EMITTED = 4096
 
 # Fixed value. The pattern under which a space before anything but white space always
 # begins a match: no alternative takes such a space but as its first character, and
@@ -65,25 +68,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[list[bytes], tuple |
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
-class State:
-    """Where tokens may be growing, the end of the text last.
-
-    ``places`` has for each the trie node of what has grown and the tokens that lead
-    there since the last emitted one, ``last``; it is kept only where it can matter.
-    """
-
-    __slots__ = ("places", "last", "moves")
-
-    def __init__(self, places: tuple, last: int | None) -> None:
-        self.places, self.last, self.moves = places, last, {}
-
-    def rest(self) -> tuple[int, ...]:
-        """The tokens still to be emitted if the text ends here."""
-        return self.places[-1][1]
-
-
 class Transducer:
-    """Merges compiled to a trie, and the states made so far."""
+    """Merges compiled to what may follow what, and the moves made so far."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -102,27 +88,17 @@ class Transducer:
         # Merges run in the order of ranks only if no token has a part of higher rank.
         self.ordered = all(ranks[p] < ranks[t] or len(p) == 1 for t, two in self.split.items() for p in two)
         self.edges: dict[tuple[int, int], list] = {}
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int | None] = [None]
-        for token, rank in ranks.items():
+        self.follows: dict[int, bool] = {}
+        # States by the bytes they stand for: all that a token may begin with.
+        self.begun: dict[bytes, int] = {b"": 0}
+        for token in ranks:
             if token not in self.whole_only:
-                self._insert(token, rank)
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.forget()
-
-    def _insert(self, token: bytes, rank: int) -> None:
-        node = ROOT
-        for byte in token:
-            if byte not in self.children[node]:
-                self.children[node][byte] = len(self.children)
-                self.children.append({})
-                self.token_at.append(None)
-            node = self.children[node][byte]
-        self.token_at[node] = rank
-
-    def forget(self) -> None:
-        self.start = State(((ROOT, ()),), None)
-        self.states = {(self.start.places, None): self.start}
+                for end in range(1, len(token) + 1):
+                    self.begun.setdefault(token[:end], len(self.begun))
+        self.spelled = list(self.begun)
+        # (state, byte) -> the next state, and the tokens that end there with their
+        # lengths, the longest first.
+        self.moves: dict[int, tuple[int, list[tuple[int, int]]]] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
         """What stands at one end of a token while it is being merged.
@@ -149,7 +125,7 @@ class Transducer:
         before either is taken up by its own token. Of equal merges the left one
         comes first.
         """
-        known = self.follows.get((left, right))
+        known = self.follows.get(left << 32 | right)
         if known is not None:
             return known
         if self.ordered:
@@ -167,66 +143,74 @@ class Transducer:
         else:
             pair = [self.tokens[left], self.tokens[right]]
             known = merged(b"".join(pair), self.ranks)[0] == pair
-        if len(self.follows) > 10 * MOST_STATES:
+        if len(self.follows) > MOST_PAIRS:
             self.follows.clear()
-        self.follows[left, right] = known
+        self.follows[left << 32 | right] = known
         return known
 
-    def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """The state after one more byte, and the tokens that are now sure."""
-        places, here = [], None
-        for node, chain in state.places:
-            grown = self.children[node].get(byte)
-            if grown is None:
-                continue
-            token = self.token_at[grown]
-            if token is not None and here is None:
-                before = chain[-1] if chain else state.last
-                if before is None or self.may_follow(before, token):
-                    here = (*chain, token)
-            if self.children[grown]:
-                places.append((grown, chain))
-        if here is None:
-            raise ValueError(f"no token ends in byte {byte}: the vocabulary lacks single bytes")
-        places.append((ROOT, here))
-        sure = _shared([chain for _, chain in places])
-        last = here[sure - 1] if sure else state.last
-        places = tuple((node, chain[sure:]) for node, chain in places)
-        if all(chain for _, chain in places):
-            last = None
-        made = self.states.get((places, last))
-        if made is None:
-            made = self.states[places, last] = State(places, last)
-        step = (made, here[:sure])
-        state.moves[byte] = step
-        return step
+    def move(self, state: int, byte: int) -> tuple[int, list[tuple[int, int]]]:
+        """The state after one more byte, and what may end there."""
+        text = self.spelled[state] + bytes([byte])
+        while text not in self.begun:
+            text = text[1:]
+        ends = [text[i:] for i in range(len(text))]
+        tokens = [(self.ranks[t], len(t)) for t in ends if t in self.ranks and t not in self.whole_only]
+        found = self.moves[state << 8 | byte] = (self.begun[text], tokens)
+        return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece, which nothing merges across."""
         whole = self.whole_only.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > MOST_STATES:
-            self.forget()
-        out, state = [], self.start
+        moves, follows = self.moves.get, self.follows.get
+        out: list[int] = []
+        # The token that ends at each place since the last emitted one, which is the
+        # first here; -1 stands at the beginning of the piece.
+        # No token that ends later begins before it, so none is longer than this.
+        last, state = [-1], 0
         for byte in piece:
-            step = state.moves.get(byte)
-            state, sure = step if step else self.move(state, byte)
-            if sure:
-                out += sure
-        out += state.rest()
+            state, ending = moves(state << 8 | byte) or self.move(state, byte)
+            for token, length in ending:
+                before = last[-length]
+                if before < 0:
+                    break
+                fits = follows(before << 32 | token)
+                if fits or (fits is None and self.may_follow(before, token)):
+                    break
+            else:
+                raise ValueError(f"no token ends in byte {byte}: the vocabulary lacks single bytes")
+            last.append(token)
+            if len(last) > EMITTED:
+                last = self._emit(last, state, out)
+        out += self._chain(last, len(last) - 1)
         return tuple(out)
 
+    def _chain(self, last: list[int], end: int) -> list[int]:
+        """The tokens from the beginning of ``last`` up to the one that ends at ``end``."""
+        found = []
+        while end > 0:
+            found.append(last[end])
+            end -= len(self.tokens[last[end]])
+        found.reverse()
+        return found
 
-def _shared(chains: list[tuple[int, ...]]) -> int:
-    """How many first tokens all chains have in common."""
-    short, long = min(chains), max(chains)
-    n = 0
-    for a, b in zip(short, long):
-        if a != b:
-            break
-        n += 1
-    return n
+    def _emit(self, last: list[int], state: int, out: list[int]) -> list[int]:
+        """Emit the tokens on which all places agree where a token may still begin."""
+        text, places = self.spelled[state], {len(last) - 1}
+        for size in range(1, len(text) + 1):
+            if text[len(text) - size :] in self.begun:
+                places.add(len(last) - 1 - size)
+        # Back from the latest of the places until they are one.
+        while len(places) > 1:
+            latest = max(places)
+            places.remove(latest)
+            places.add(latest - len(self.tokens[last[latest]]))
+        (sure,) = places
+        if sure <= 0:
+            return last
+        out += self._chain(last, sure)
+        return last[sure:]
 
 
 class Utf8Reader:
@@ -287,7 +271,13 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
         self.piece = Known(lambda piece: self.transducer.encode(piece.encode()))
-        self.word = Known(lambda word: tuple(self._encode(f" {word}")))
+        self.word = Known(self._after_space)
+
+    def _after_space(self, word: str) -> tuple[int, ...]:
+        # Letters after a space are one piece.
+        if word.isalpha():
+            return self.transducer.encode(f" {word}".encode())
+        return tuple(self._encode(f" {word}"))
 
     def _encode(self, text: str) -> list[int]:
         piece = self.piece
