@@ -33,21 +33,32 @@ def heavy_keys(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > rows)
 
 
+def heavy_list(df: DataFrame, by: Sequence[str], rows: int) -> tuple[DataFrame, int]:
+    """The keys of more than ``rows`` rows, and how many keys that is.
+
+    They are written to the checkpoint folder, to be counted before they are joined.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    heavy = heavy_keys(df, by, rows).drop("n_rows").checkpoint()
+    return heavy, heavy.count()
+
+
 def part_heavy(
     df: DataFrame, by: Sequence[str], rows: int
 ) -> tuple[DataFrame, DataFrame | None]:
     """``df`` without its keys of more than ``rows`` rows, and those keys' rows.
 
     The second is None if there are no such keys; null is a key like any other.
-    The keys are written to the checkpoint folder, to be counted before they are
-    joined.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    heavy = heavy_keys(df, by, rows).drop("n_rows").checkpoint()
-    n_heavy = heavy.count()
+    heavy, n_heavy = heavy_list(df, by, rows)
     if n_heavy == 0:
         return df, None
-    keys = broadcast_up_to(heavy.toDF(*[f"_heavy_{k}" for k in by]), n_heavy)
+    return parted(df, by, broadcast_up_to(heavy, n_heavy))
+
+
+def parted(df: DataFrame, by: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` without the keys in ``heavy``, and with those alone."""
+    keys = heavy.toDF(*[f"_heavy_{k}" for k in by])
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_heavy_{k}")) for k in by])
     return df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
 

@@ -24,8 +24,8 @@ def with_double_value(df: DataFrame) -> DataFrame:
 
 
 def props_by_type(tables: Tables) -> DataFrame:
-    """The number ``k`` in each event's properties, by event type."""
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    """The number ``k`` in each event's properties, by event type; what is none counts as null."""
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
     events = tables.read("events", "event_type", "props").select("event_type", k.alias("k"))
     return events.groupBy("event_type").agg(
         F.count("k").alias("n_k"),
@@ -40,7 +40,7 @@ def props_by_type(tables: Tables) -> DataFrame:
 _PROPS_BY_TYPE_SQL = """
 SELECT event_type, count(k) AS n_k, CAST(sum(k) AS BIGINT) AS sum_k, min(k) AS min_k, max(k) AS max_k,
        avg(k) AS avg_k, count(DISTINCT k) AS distinct_k
-FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 GROUP BY event_type
 """
 
@@ -54,7 +54,7 @@ def value_by_props(tables: Tables) -> DataFrame:
 
 
 _VALUE_BY_PROPS_SQL = """
-SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) // 10 AS decade, count(*) AS n_events,
+SELECT TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) // 10 AS decade, count(*) AS n_events,
        CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS sum_value
 FROM events
 GROUP BY decade

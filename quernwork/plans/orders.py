@@ -17,7 +17,7 @@ _ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]
 
 def orders_without_lines(tables: Tables) -> DataFrame:
     orders = tables.read("orders", *_ORDER_COLUMNS)
-    return lacking(orders, tables.read("lineitem", "l_orderkey"), ("o_orderkey", "l_orderkey"))
+    return lacking(orders, tables.read("lineitem", "l_orderkey"), ("o_orderkey", "l_orderkey"), unique=True)
 
 
 _ORDERS_WITHOUT_LINES_SQL = """
@@ -30,7 +30,7 @@ WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
 def orders_with_returns(tables: Tables) -> DataFrame:
     returned = tables.read("lineitem").where(F.col("l_returnflag") == "R")
     orders = tables.read("orders", *_ORDER_COLUMNS)
-    return having(orders, returned, ("o_orderkey", "l_orderkey"))
+    return having(orders, returned, ("o_orderkey", "l_orderkey"), unique=True)
 
 
 _ORDERS_WITH_RETURNS_SQL = """

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
+    # Written checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Noting the Python line behind every column takes longer than building it.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -32,17 +34,21 @@ def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
 def build_session(
     app: str = "quernwork",
     master: str | None = None,
-    shuffled_bytes: int = 0,
-    cores: int = 8,
+    shuffled_bytes: int | None = None,
+    cores: int = 1,
     conf: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A session sized for ``shuffled_bytes`` of shuffle on ``cores`` cores."""
+    """A session sized for ``shuffled_bytes`` of shuffle on ``cores`` cores.
+
+    AQE merges shuffle partitions but never makes more, so their number is set only
+    from a size that is given; without one it stays what Spark or ``conf`` says.
+    """
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    settings = DEFAULTS | {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions(shuffled_bytes, cores))
-    }
+    settings = dict(DEFAULTS)
+    if shuffled_bytes is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions(shuffled_bytes, cores))
     for key, value in (settings | (conf or {})).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

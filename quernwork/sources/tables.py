@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from quernwork.sources.schemas import SCHEMAS
 
@@ -23,6 +25,7 @@ class Tables:
         """The whole table, or only ``columns`` of it; the scan reads no others."""
         reader = self.spark.read
         if name in SCHEMAS:
+            _require_columns(self.spark, self.path(name), SCHEMAS[name])
             reader = reader.schema(SCHEMAS[name])
         df = reader.parquet(self.path(name))
         return df.select(*columns) if columns else df
@@ -37,13 +40,14 @@ class Tables:
         reader = self.spark.readStream.schema(SCHEMAS[name])
         if max_files is not None:
             reader = reader.option("maxFilesPerTrigger", max_files)
-        return reader.parquet(self._stream_path(name))
-
-    def _stream_path(self, name: str) -> str:
-        """The path in a form a file stream accepts: a single file only as a glob."""
-        path = self.path(name)
-        file = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        system = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if system.getFileStatus(file).isFile():
-            return f"{self.root.rstrip('/')}/{{{name}.parquet}}"
-        return path
+        _require_columns(self.spark, self.path(name), SCHEMAS[name])
+        # A file stream takes a single file only as a glob, and a folder so as well.
+        return reader.parquet(f"{self.root.rstrip('/')}/{{{name}.parquet}}")
+
+
+@cache
+def _require_columns(spark: SparkSession, path: str, schema: str) -> None:
+    """Fail if files lack a column that is named; a reader would make it all nulls."""
+    missing = set(StructType.fromDDL(schema).names) - set(spark.read.parquet(path).columns)
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(sorted(missing))}")

@@ -47,6 +47,45 @@ def test_roll_up_equals_join_then_group(spark):
     assert sorted_rows(own) == sorted_rows(plain.select(*own.columns))
 
 
+@pytest.mark.parametrize("unique", [True, False])
+@pytest.mark.parametrize("hot_rows", [10, 10_000])
+def test_hot_and_null_keys_of_the_left_side(spark, unique, hot_rows):
+    rows = [(0 if i < 60 else 1 if i < 90 else None if i < 150 else i, i) for i in range(300)]
+    left = spark.createDataFrame(rows, "k int, i int")
+    right = spark.createDataFrame([(k,) for k in [0, 0, None, 155, 299, 999]], "other int")
+    found = {0, 155, 299}
+    on = ("k", "other")
+    assert sorted_rows(having(left, right, on, unique, hot_rows)) == sorted(r for r in rows if r[0] in found)
+    rest = [r for r in rows if r[0] not in found]
+    assert sorted_rows(lacking(left, right, on, unique, hot_rows)) == sorted(rest, key=lambda r: (r[0] is not None, r))
+
+
+def test_rows_of_hot_left_keys_are_not_shuffled(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(90_000).selectExpr("IF(id % 3 = 0, 7, id) AS k", "id")
+        found = having(left, spark.range(1000).toDF("other"), ("k", "other"), hot_rows=1000)
+        assert found.count() == 30_000 + 666
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The hot rows come from their scan through joins with broadcast lists alone.
+    hot = plan[plan.index("Union") :].split("SortMergeJoin")
+    assert len(hot) == 2 and plan.count("BroadcastHashJoin") >= 3
+
+
+@pytest.mark.parametrize("k", [1001, 5000])
+def test_a_large_top_k_ranks_pieces_first(spark, k):
+    df = spark.range(20_000).selectExpr("id % 2 AS g", "id AS v")
+    found = top_k(df, ["g"], [F.desc("v")], k)
+    rows = sorted_rows(found.select("g", "rank", "v"))
+    assert rows == [(g, n + 1, 19_998 + g - 2 * n) for g in (0, 1) for n in range(k)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    first = plan.rindex("Window [row_number")
+    assert "_piece" in plan[first : first + 300]
+
+
 @pytest.mark.parametrize("k", [1, 3, 1000])
 def test_top_k(spark, k):
     rows = [r for r in events(2, 300) if r[1] is not None]
@@ -120,6 +159,13 @@ def test_cents(spark):
     assert [r[0] for r in df.select(cents("v")).collect()] == [29, 115, -99428, 10499788, 0, None, 841]
 
 
+@pytest.mark.parametrize("value", [1.005, 0.001, -2.345])
+def test_cents_refuse_more_decimals(spark, value):
+    df = spark.createDataFrame([(value,)], "v double")
+    with pytest.raises(Exception, match="more than two decimals"):
+        df.select(cents("v")).collect()
+
+
 def test_heavy_keys(spark):
     df = frame(spark, [(i, 0 if i < 50 else i, None, 0.0) for i in range(100)])
     assert [tuple(r) for r in heavy_keys(df, ["user"], 10).collect()] == [(0, 50)]

@@ -4,8 +4,10 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from quernwork.session import TARGET_PARTITION_BYTES, shuffle_partitions
+from quernwork.plans import registered
+from quernwork.session import TARGET_PARTITION_BYTES, build_session, shuffle_partitions
 from quernwork.sources import Tables, ensure_checkpoint_dir, new_folder
 from quernwork.sources.schemas import SCHEMAS
 
@@ -24,6 +26,36 @@ def test_columns_and_unknown_tables(spark):
     assert tables.read("labels").columns == ["doc_id", "quality", "toxic"]
 
 
+def test_a_lacking_column_is_an_error(spark, tmp_path):
+    Tables(spark, FOLDER).read("region").drop("r_name").write.parquet(f"{tmp_path}/region.parquet")
+    with pytest.raises(ValueError, match="lacks r_name"):
+        Tables(spark, str(tmp_path)).read("region")
+
+
+def test_props_that_are_no_numbers_are_nulls(spark, tmp_path):
+    events = Tables(spark, FOLDER).read("events").limit(2)
+    props = F.when(F.col("event_id") % 2 == 0, '{"k": "x"}').otherwise('{"k": 3}')
+    events.withColumn("event_type", F.lit("t")).withColumn("props", props).write.parquet(
+        f"{tmp_path}/events.parquet"
+    )
+    found = registered()["props_by_type"].run(Tables(spark, str(tmp_path))).first()
+    assert (found["n_k"], found["sum_k"]) == (1, 3)
+
+
+def test_partitions_are_set_only_from_a_size():
+    set_ = []
+    builder = SimpleNamespace(getOrCreate=lambda: None)
+    builder.appName = lambda app: builder
+    builder.config = lambda key, value: set_.append(key) or builder
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("quernwork.session.SparkSession", SimpleNamespace(builder=builder))
+        build_session()
+        assert "spark.sql.shuffle.partitions" not in set_
+        assert "spark.cleaner.referenceTracking.cleanCheckpoints" in set_
+        build_session(shuffled_bytes=10 * 2**40, cores=400)
+        assert "spark.sql.shuffle.partitions" in set_
+
+
 def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
     events = Tables(spark, FOLDER).read("events")
     events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
