@@ -11,7 +11,7 @@ from quernwork.functions.measures import (
     total,
 )
 from quernwork.functions.money import amount, cents, discounted, taxed
-from quernwork.functions.times import micros, with_rank
+from quernwork.functions.times import micros, ticks
 
 __all__ = [
     "Measure",
@@ -27,5 +27,4 @@ __all__ = [
     "partials",
     "taxed",
     "total",
-    "with_rank",
 ]

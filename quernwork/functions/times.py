@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,17 +13,15 @@ def micros(width: timedelta) -> str:
     return f"{width // timedelta(microseconds=1)} microseconds"
 
 
-def with_rank(df: DataFrame, values: str, at: str, longest: int, rank: str) -> DataFrame:
-    """``df`` with the number of elements of the sorted array ``values`` before ``at``.
-
-    No array is longer than ``longest``; where it is null the rank is 0. Each step
-    of the search by halves is a projection of its own, which stays in generated
-    code, unlike a lambda over the array. Filters on the rank would be copied
-    through those steps; join or group on it instead.
-    """
-    found = df.withColumn(rank, F.lit(0))
-    for power in reversed(range(longest.bit_length())):
-        step = 1 << power
-        passed = F.get(values, F.col(rank) + (step - 1)) < F.col(at)
-        found = found.withColumn(rank, F.col(rank) + F.when(passed, step).otherwise(0))
-    return found
+def ticks(df: DataFrame, time: str) -> Column:
+    """A time as a long that grows with it: microseconds, or days of a date."""
+    kind = dict(df.dtypes)[time]
+    if kind == "timestamp":
+        return F.unix_micros(time)
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), F.col(time))
+    if kind == "date":
+        return F.unix_date(time).cast("bigint")
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        return F.col(time).cast("bigint")
+    raise TypeError(f"{time} is a {kind}, not a time or a whole number")

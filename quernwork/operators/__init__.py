@@ -1,6 +1,6 @@
 """Operators: each takes DataFrames and gives a DataFrame."""
 
-from quernwork.operators.asof import asof_join
+from quernwork.operators.asof import asof_join, asof_within
 from quernwork.operators.grouping import cube_sets, grouping_totals, rollup_sets
 from quernwork.operators.joins import having, lacking, roll_up
 from quernwork.operators.multisets import (
@@ -12,13 +12,15 @@ from quernwork.operators.multisets import (
     union_distinct,
 )
 from quernwork.operators.ranking import top_k
-from quernwork.operators.skew import Splits, broadcast_up_to, heavy_keys, key_splits, part_heavy
+from quernwork.operators.skew import Pieces, broadcast_up_to, cut_hot_keys, heavy_keys, part_heavy
 from quernwork.operators.windows import sessions, sliding, tumbling
 
 __all__ = [
-    "Splits",
+    "Pieces",
     "asof_join",
+    "asof_within",
     "broadcast_up_to",
+    "cut_hot_keys",
     "cube_sets",
     "except_all",
     "except_distinct",
@@ -27,7 +29,6 @@ __all__ = [
     "heavy_keys",
     "intersect_all",
     "intersect_distinct",
-    "key_splits",
     "lacking",
     "part_heavy",
     "roll_up",

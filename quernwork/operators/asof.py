@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernwork.functions.times import with_rank
-from quernwork.operators.skew import HOT_ROWS, Splits, key_splits
+from quernwork.functions.times import ticks
+from quernwork.operators.skew import HOT_ROWS, Pieces, broadcast_up_to, cut_hot_keys
+
+# Parts over which left rows without a key or a time are spread; they match nothing.
+LOOSE_PARTS = 1 << 20
 
 
 def asof_join(
@@ -24,120 +29,139 @@ def asof_join(
 ) -> DataFrame:
     """Every row of ``left`` with columns of the latest row of ``right`` at its time.
 
-    Rows match on ``by``; the time of the match is no later than ``left_time``,
-    or before it when ``allow_equal`` is false. ``take`` maps new column names to
-    columns of ``right``; they are null where nothing matches. Of right rows with
-    one key and time the one greatest in the taken columns is used. ``spread``
-    names columns that tell left rows of one key and time apart.
-
-    Both tables are laid in one time line per key, and each left row takes the
-    last right row before it: one shuffle and no pairs. A key with more than
-    ``hot_rows`` rows is cut into pieces of its time line, and each piece starts
-    with the last right row of the pieces before it. To find such keys both tables
-    are read once more, and again if there are any: write costly inputs out first.
+    Rows match on ``by``; the time of the match is no later than ``left_time``, or
+    before it when ``allow_equal`` is false. ``take`` maps new column names to columns
+    of ``right``; they are null where nothing matches. Of right rows with one key and
+    time the one greatest in the taken columns is used. ``spread`` names columns that
+    tell left rows of one key and time apart.
+
+    Both tables are laid in one time line per key, and each left row takes the last
+    right row before it: one shuffle and no pairs. A key with more than ``hot_rows``
+    rows is cut into pieces of its time line, and each piece starts with the last right
+    row of the pieces before it. To find such keys both tables are read once more, and
+    again if there are any: write costly inputs out first.
     """
-    found = [F.col(column).alias(name) for name, column in take.items()]
-    dated = _all_present([*by, left_time])
-    lefts = left.where(dated).select(
-        *by, F.col(left_time).alias("_time"), F.struct(*left.columns).alias("_left")
-    )
-    rights = right.where(_all_present([*by, right_time])).select(
-        *by, F.col(right_time).alias("_time"), F.struct(*found).alias("_right")
-    )
-    times = lefts.select(*by, "_time").unionAll(rights.select(*by, "_time"))
-    splits = key_splits(times, by, "_time", hot_rows)
-    if splits is None:
-        whole = F.lit(0).alias("_piece")
-        pieces = _laid_out(lefts.select("*", whole), rights.select("*", whole))
-    else:
-        pieces = _in_pieces(lefts, rights, by, splits, spread, allow_equal)
-    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(n) for n, c in take.items()]
-    unmatched = left.where(~dated).select(*left.columns, *nothing)
-    matched = _last_right(pieces, by, allow_equal)
-    return matched.select("_left.*", *[f"_found.{name}" for name in take]).unionAll(unmatched)
-
+    lefts = _lefts(left, left.columns, by, left_time, F.lit(True))
+    rights = _rights(right, by, right_time, take, F.lit(True))
+    laid = lefts.unionByName(rights.where(_present([*by, "_tick"])), allowMissingColumns=True)
+    return _matched(laid, by, take, spread, allow_equal, hot_rows)
 
-def _all_present(columns: Sequence[str]) -> Column:
-    present = F.lit(True)
-    for column in columns:
-        present = present & F.col(column).isNotNull()
-    return present
 
-
-def _laid_out(lefts: DataFrame, rights: DataFrame) -> DataFrame:
-    return lefts.unionByName(rights, allowMissingColumns=True)
-
-
-def _in_pieces(
-    lefts: DataFrame,
-    rights: DataFrame,
+def asof_within(
+    df: DataFrame,
+    is_left: Column,
+    is_right: Column,
+    columns: Sequence[str],
     by: Sequence[str],
-    splits: Splits,
+    time: str,
+    take: Mapping[str, str],
     spread: Sequence[str],
-    allow_equal: bool,
+    allow_equal: bool = True,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Both sides with the number of their piece, and each piece's starting row.
-
-    A row is in the piece numbered by the splits before its time. Left rows at a
-    time that is itself a split, perhaps several times over, may go to any piece
-    from that split to the last equal one. The right row at such a time goes to the
-    first of these pieces, or to the last if equal times do not match, and reaches
-    the others, or none, as their starting row. Only at such times can right rows
-    be many, and only there are they reduced to the greatest.
+    """``asof_join`` of two parts of one table, which is read once for both.
+
+    Rows where ``is_left`` holds are kept with ``columns``; those where ``is_right``
+    holds are what they take from. A row may be both.
     """
-    point = [*by, "_time"]
-    table = splits.broadcast(splits.table)
-    cuts = splits.broadcast(
-        splits.table.select(*by, F.posexplode("splits").alias("_at", "_time"))
-        .groupBy(*point)
-        .agg(F.min("_at").alias("_low"), (F.max("_at") + 1).alias("_high"))
-    )
-    ranked = with_rank(lefts.join(table, list(by), "left"), "splits", "_time", splits.longest, "_rank")
-    room = F.coalesce(F.col("_high") - F.col("_low"), F.lit(0)) + 1
-    salt = F.xxhash64(*[F.col(f"_left.{c}") for c in spread])
-    left_pieces = ranked.join(cuts, point, "left").select(
-        *lefts.columns, (F.col("_rank") + F.pmod(salt, room).cast("int")).alias("_piece")
+    taken = F.struct(*[F.col(column).alias(name) for name, column in take.items()])
+    usable = is_right & _present([*by, time])
+    laid = df.where(is_left | usable).select(
+        *by,
+        ticks(df, time).alias("_tick"),
+        F.when(is_left, F.struct(*columns)).alias("_left"),
+        F.when(usable, taken).alias("_right"),
     )
+    return _matched(laid, by, take, spread, allow_equal, hot_rows)
 
-    elsewhere = rights.join(cuts, point, "left_anti")
-    placed = with_rank(elsewhere.join(table, list(by), "left"), "splits", "_time", splits.longest, "_piece")
-    first_or_last = F.col("_low" if allow_equal else "_high").alias("_piece")
-    at_cuts = rights.join(cuts, point).groupBy(*point, first_or_last).agg(F.max("_right").alias("_right"))
 
-    in_hot_keys = with_rank(elsewhere.join(table, list(by)), "splits", "_time", splits.longest, "_piece")
-    last_times = in_hot_keys.groupBy(*by, "_piece").agg(F.max("_time").alias("_time"))
-    last_rows = (
-        rights.join(splits.broadcast(last_times), point)
-        .groupBy(*point, "_piece")
-        .agg(F.max("_right").alias("_right"))
-    )
-    starts = _starting_rows(last_rows.unionByName(at_cuts), by, splits)
-    rights_all = placed.drop("splits").unionByName(at_cuts).unionByName(starts, allowMissingColumns=True)
-    return _laid_out(left_pieces, rights_all)
+def _present(columns: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
 
 
-def _starting_rows(ends: DataFrame, by: Sequence[str], splits: Splits) -> DataFrame:
-    """For each piece, the last right row of the pieces before it, without a time.
+def _lefts(df: DataFrame, columns: Sequence[str], by: Sequence[str], time: str, where: Column) -> DataFrame:
+    return df.where(where).select(*by, ticks(df, time).alias("_tick"), F.struct(*columns).alias("_left"))
 
-    ``ends`` has the last row of each piece among at most two.
+
+def _rights(df: DataFrame, by: Sequence[str], time: str, take: Mapping[str, str], where: Column) -> DataFrame:
+    taken = [F.col(column).alias(name) for name, column in take.items()]
+    return df.where(where).select(*by, ticks(df, time).alias("_tick"), F.struct(*taken).alias("_right"))
+
+
+def _matched(
+    laid: DataFrame, by: Sequence[str], take: Mapping[str, str], spread: Sequence[str], allow_equal: bool, hot_rows: int
+) -> DataFrame:
+    mark = F.when(F.col("_right").isNotNull(), F.col("_tick")).alias("_mark")
+    known = laid.where(_present([*by, "_tick"]))
+    cut = cut_hot_keys(known.select(*by, "_tick", mark), by, "_tick", "_mark", hot_rows)
+    salt = F.xxhash64(*[F.col(f"_left.{c}") for c in spread])
+    loose = F.when(~_present([*by, "_tick"]), -1 - F.pmod(salt, F.lit(LOOSE_PARTS)))
+    if cut is None:
+        pieces = laid.select("*", F.lit(0).alias("_piece"), F.coalesce(loose, F.lit(0)).alias("_part"))
+    else:
+        pieces = _in_pieces(laid, cut, by, salt, loose, allow_equal, hot_rows)
+    found = _last_right(pieces, [*by, "_piece", "_part"], allow_equal)
+    return found.select("_left.*", *[f"_found.{name}" for name in take])
+
+
+def _in_pieces(
+    laid: DataFrame, cut: Pieces, by: Sequence[str], salt: Column, loose: Column, allow_equal: bool, hot_rows: int
+) -> DataFrame:
+    """All rows by piece, with the last right row before each piece, without a tick.
+
+    A single tick of more than ``hot_rows`` rows is a piece of several parts. Its left
+    rows are dealt over them; of its right rows, which all stand at one tick, only the
+    greatest goes on, to every part. What is broadcast has keys and ticks only.
     """
-    place = [*by, "_piece"]
-    last = ends.groupBy(*place).agg(F.max(F.struct("_time", "_right"))["_right"].alias("_end"))
+    parts = F.ceil(F.col("n_rows") / hot_rows).cast("bigint")
+    crowded = cut.counts.where(F.col("n_rows") > hot_rows).select(*by, "_piece", parts.alias("_parts"))
+    n_crowded = crowded.count()
+    placed = cut.place(laid, "_tick", "_piece").withColumn("_piece", F.coalesce("_piece", F.lit(0)))
+    placed = placed.join(broadcast_up_to(crowded, n_crowded), [*by, "_piece"], "left")
+    part = F.coalesce(loose, F.pmod(salt, F.col("_parts")), F.lit(0))
+
     earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = F.explode(F.sequence(F.lit(0), F.size("splits"))).alias("_piece")
-    return (
-        splits.table.select(*by, pieces)
-        .join(splits.broadcast(last), place, "left")
-        .withColumn("_right", F.last("_end", ignorenulls=True).over(earlier))
-        .where(F.col("_right").isNotNull())
-        .drop("_end")
+    before = (
+        cut.counts.withColumn("_tick", F.last("mark", ignorenulls=True).over(earlier))
+        .where(F.col("_tick").isNotNull())
+        .select(*by, "_tick", F.col("_piece").alias("_for"))
     )
-
-
-def _last_right(pieces: DataFrame, by: Sequence[str], allow_equal: bool) -> DataFrame:
+    rights = laid.where(F.col("_right").isNotNull()).select(*by, "_tick", "_right")
+    starts = (
+        rights.join(broadcast_up_to(before, cut.n_counts), [*by, "_tick"])
+        .groupBy(*by, F.col("_for").alias("_piece"))
+        .agg(F.max("_right").alias("_right"))
+        .join(broadcast_up_to(crowded, n_crowded), [*by, "_piece"], "left")
+    )
+    one = F.lit(1).cast("bigint")
+    copies = F.explode(F.sequence(one - 1, F.coalesce("_parts", one) - 1))
+    added = starts.select(*by, "_piece", "_right", copies.alias("_part"))
+    if n_crowded:
+        is_left = F.col("_left").isNotNull()
+        greatest = (
+            placed.where(F.col("_right").isNotNull() & F.col("_parts").isNotNull())
+            .groupBy(*by, "_piece", "_parts", "_tick")
+            .agg(F.max("_right").alias("_right"))
+        )
+        added = added.unionByName(
+            greatest.select(*by, "_piece", "_tick", "_right", copies.alias("_part")), allowMissingColumns=True
+        )
+        placed = placed.where(is_left | F.col("_parts").isNull()).withColumn(
+            "_right", F.when(F.col("_parts").isNull(), F.col("_right"))
+        )
+    own = placed.select(*by, "_tick", "_left", "_right", "_piece", part.alias("_part"))
+    return own.unionByName(added, allowMissingColumns=True)
+
+
+def _last_right(pieces: DataFrame, within: Sequence[str], allow_equal: bool) -> DataFrame:
+    """Left rows with the last right row before them; a row that is both is a right row too."""
     is_left = F.col("_left").isNotNull()
-    left_last = F.when(is_left, 1 if allow_equal else -1).otherwise(0)
-    timeline = Window.partitionBy(*by, "_piece").orderBy(
-        F.col("_time").asc_nulls_first(), left_last, F.col("_right").asc_nulls_first()
-    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return pieces.withColumn("_found", F.last("_right", ignorenulls=True).over(timeline)).where(is_left)
+    order = [F.col("_tick").asc_nulls_first()]
+    timeline = Window.partitionBy(*within)
+    greatest = F.struct("_tick", "_right")
+    seen = F.max(F.when(F.col("_right").isNotNull(), greatest))
+    if allow_equal:
+        upto = seen.over(timeline.orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    else:
+        upto = seen.over(timeline.orderBy(*order).rangeBetween(Window.unboundedPreceding, -1))
+    return pieces.withColumn("_seen", upto).where(is_left).withColumn("_found", F.col("_seen._right"))

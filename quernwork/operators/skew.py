@@ -1,4 +1,4 @@
-"""Finding keys too large for one task, and cutting them along an order."""
+"""Finding keys too large for one task, and cutting them along a line of whole numbers."""
 
 from __future__ import annotations
 
@@ -7,16 +7,11 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernwork.sources.shared import ensure_checkpoint_dir
 
-# Pieces one key can be cut into; a power of two.
-MAX_PIECES = 4096
-# Accuracy of the quantiles at which a key is cut: ranks are off by at most
-# one part in this many, a twelfth of the smallest piece.
-SPLIT_ACCURACY = 12 * MAX_PIECES
 # Rows of one key that a single task sorts without trouble.
 HOT_ROWS = 10_000_000
 # Counted keys or split values up to this many are broadcast, some 16 MB; more
@@ -64,54 +59,83 @@ def parted(df: DataFrame, by: Sequence[str], heavy: DataFrame) -> tuple[DataFram
 
 
 @dataclass(frozen=True)
-class Splits:
-    """Where keys are cut: ``table`` has the key and ``splits``, a sorted array.
+class Pieces:
+    """How the time lines of hot keys are cut, as tables of counted sizes.
 
-    ``n_values`` is the number of elements of all arrays, ``longest`` the length
-    of the longest. A key with n elements has n + 1 pieces, numbered from 0.
+    ``levels`` cut ever finer: each names stretches, by key and where they start, and
+    the width of the pieces in them. ``counts`` has every piece that holds rows: its
+    start, its rows as ``n_rows``, its first and last tick, and the greatest ``mark`` in it.
     """
 
-    table: DataFrame
-    n_values: int
-    longest: int
-
-    def broadcast(self, df: DataFrame) -> DataFrame:
-        """``df``, with at most two rows for each value here, marked if that is few."""
-        return broadcast_up_to(df, 2 * self.n_values)
-
-
-def key_splits(df: DataFrame, by: Sequence[str], order: str, rows: int) -> Splits | None:
-    """Where to cut each key of more than ``rows`` rows into pieces of about that many.
-
-    A key is cut at values of ``order``. A value that many rows share occurs
-    several times among them. None if no key is so large.
-
-    Both results are written to the checkpoint folder: the keys to be counted
-    before they are joined, the splits because quantile sketches may differ
-    between two runs and every use of a split must see the same one.
+    by: Sequence[str]
+    levels: list[tuple[DataFrame, int]]
+    counts: DataFrame
+    n_counts: int
+
+    def place(self, df: DataFrame, tick: str, piece: str) -> DataFrame:
+        """``df`` with where its piece starts; null for keys that are not cut."""
+        for number, (table, size) in enumerate(self.levels):
+            on = list(self.by) if number == 0 else [*self.by, piece]
+            listed = table.withColumnsRenamed({"_start": "_from" if number == 0 else piece, "_width": "_wide"})
+            df = df.join(broadcast_up_to(listed, size), on, "left")
+            begin = F.col("_from" if number == 0 else piece)
+            steps = F.floor((F.col(tick) - begin) / F.col("_wide"))
+            inside = begin + steps * F.col("_wide")
+            df = df.withColumn(piece, inside if number == 0 else F.coalesce(inside, F.col(piece)))
+            df = df.drop("_from", "_wide")
+        return df
+
+
+def cut_hot_keys(
+    df: DataFrame, by: Sequence[str], tick: str, mark: str, rows: int
+) -> Pieces | None:
+    """Cut each key of more than ``rows`` rows along ``tick``, a long, into pieces of fewer.
+
+    A key's stretch of ticks is cut into some four times as many even pieces as its
+    rows call for. Rows are counted by key and piece, combined before the shuffle, and
+    what still has too many is cut again the same way, down to a single tick. So no
+    task sees all of a key, there is no limit on pieces, and only a single tick may
+    stay above ``rows``. None if no key is so large.
+
+    The tables are written to the checkpoint folder, to be counted before they are
+    joined.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    heavy = heavy_keys(df, by, rows).checkpoint()
+    heavy = (
+        df.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.min(tick).alias("_start"), F.max(tick).alias("_end"))
+        .where(F.col("n_rows") > rows)
+        .withColumn("_width", _finer(F.col("_end") - F.col("_start") + 1, F.col("n_rows"), rows))
+        .select(*by, "_start", "_width")
+        .checkpoint()
+    )
     n_heavy = heavy.count()
     if n_heavy == 0:
         return None
-    fractions = ", ".join(f"{i / MAX_PIECES}D" for i in range(1, MAX_PIECES))
-    cuts = F.expr(f"percentile_approx(`{order}`, array({fractions}), {SPLIT_ACCURACY})")
-    pieces = F.least(F.lit(MAX_PIECES), F.ceil(F.col("n_rows") / rows))
-    chosen = F.transform(
-        F.sequence(F.lit(1), pieces.cast("int") - 1),
-        lambda i: F.get(F.col("cuts"), (i * MAX_PIECES / pieces).cast("int") - 1),
-    )
-    splits = (
-        df.select(*by, order)
-        .join(broadcast_up_to(heavy, n_heavy), list(by))
-        .groupBy(*by)
-        .agg(cuts.alias("cuts"), F.max("n_rows").alias("n_rows"))
-        .select(*by, chosen.alias("splits"))
-        .checkpoint()
-    )
-    n_values, longest = splits.agg(F.sum(F.size("splits")), F.max(F.size("splits"))).first()
-    return Splits(splits, n_values, longest)
+    keys = heavy.select(*by)
+    hot = df.join(broadcast_up_to(keys, n_heavy), list(by), "left_semi")
+    cut = Pieces(by, [(heavy, n_heavy)], heavy, 0)
+    while True:
+        found = cut.place(hot, tick, "_piece").groupBy(*by, "_piece")
+        counts = found.agg(
+            F.count(F.lit(1)).alias("n_rows"), F.max(mark).alias("mark"), F.min(tick).alias("_low"), F.max(tick).alias("_high")
+        ).checkpoint()
+        n_counts = counts.count()
+        cut = Pieces(by, cut.levels, counts, n_counts)
+        large = counts.where((F.col("n_rows") > rows) & (F.col("_high") > F.col("_low")))
+        span = F.col("_high") - F.col("_piece") + 1
+        finer = large.select(
+            *by, F.col("_piece").alias("_start"), _finer(span, F.col("n_rows"), rows).alias("_width")
+        ).checkpoint()
+        size = finer.count()
+        if size == 0:
+            return cut
+        cut = Pieces(by, [*cut.levels, (finer, size)], counts, n_counts)
+
+
+def _finer(span: Column, n_rows: Column, rows: int) -> Column:
+    """The width of pieces, four times as many as ``n_rows`` calls for, two at least."""
+    return F.greatest(F.lit(1), F.ceil(span / (4 * F.ceil(n_rows / rows)))).cast("bigint")
 
 
 def broadcast_up_to(df: DataFrame, size: int, limit: int = BROADCAST_VALUES) -> DataFrame:

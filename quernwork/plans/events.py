@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernwork.functions import Measure, amount, cents, count, highest, lowest, partials, total
-from quernwork.operators import asof_join, sessions, sliding, tumbling
+from quernwork.operators import asof_within, sessions, sliding, tumbling
+from quernwork.operators.skew import HOT_ROWS
 from quernwork.plans.registry import Query
 from quernwork.sources import Tables
 
@@ -94,10 +95,10 @@ GROUP BY ALL
 """
 
 
-def user_sessions(tables: Tables) -> DataFrame:
+def user_sessions(tables: Tables, hot_rows: int = HOT_ROWS) -> DataFrame:
     events = tables.read("events", "ts", "user_id", "value")
     measures = [*values(), lowest("min_value", "value"), highest("max_value", "value")]
-    return with_double_value(sessions(events, ["user_id"], "ts", GAP, measures))
+    return with_double_value(sessions(events, ["user_id"], "ts", GAP, measures, hot_rows))
 
 
 def _sessions_sql(more: str = "") -> str:
@@ -121,20 +122,20 @@ USER_SESSIONS_SQL = _sessions_sql()
 _USER_SESSIONS_SQL = _sessions_sql(", min(value) AS min_value, max(value) AS max_value")
 
 
-def event_before_purchase(tables: Tables) -> DataFrame:
+def event_before_purchase(tables: Tables, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each purchase with the latest earlier event of its user that was none."""
-    events = tables.read("events", "event_id", "ts", "user_id", "event_type", "value")
     bought = F.col("event_type") == "purchase"
-    purchases = events.where(bought).select("event_id", "ts", "user_id", "value")
-    return asof_join(
-        purchases,
-        events.where(~bought),
+    return asof_within(
+        tables.read("events", "event_id", "ts", "user_id", "event_type", "value"),
+        is_left=bought,
+        is_right=~bought,
+        columns=["event_id", "ts", "user_id", "value"],
         by=["user_id"],
-        left_time="ts",
-        right_time="ts",
+        time="ts",
         take={"before_ts": "ts", "before_id": "event_id", "before_type": "event_type"},
         spread=["event_id"],
         allow_equal=False,
+        hot_rows=hot_rows,
     )
 
 

@@ -3,10 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quernwork.functions import with_rank
-from quernwork.operators import asof_join, key_splits
-from quernwork.operators.asof import _in_pieces
+from quernwork.functions import ticks
+from quernwork.operators import asof_join, asof_within, cut_hot_keys
+from quernwork.plans import registered
+from quernwork.plans.events import event_before_purchase, user_sessions
+from quernwork.sources import Tables
 from tests.fixtures import at, events, frame, sorted_rows
+from tests.oracle import assert_same
 
 
 def searched(left, right, allow_equal):
@@ -62,44 +65,69 @@ def test_two_keys(spark):
     assert {r["id"]: r["before"] for r in joined.collect()} == expected
 
 
-def test_splits_cut_large_keys_evenly(spark):
-    rows = [(i, 0 if i % 3 else 1 + i % 50, at(i // 2), 0.0) for i in range(6000)]
-    splits = key_splits(frame(spark, rows), ["user"], "ts", 500).table.collect()
-    assert [r["user"] for r in splits] == [0]
-    cuts = splits[0]["splits"]
-    assert len(cuts) == 7  # 4000 rows in pieces of 500
-    times = [r[2] for r in rows if r[1] == 0]
-    bounds = [min(times), *cuts, max(times)]
-    sizes = [sum(a < t <= b for t in times) for a, b in zip(bounds, bounds[1:])]
-    assert max(sizes) <= 550
+def cut(spark, rows, size):
+    df = frame(spark, rows)
+    slim = df.select("user", ticks(df, "ts").alias("tick"), ticks(df, "ts").alias("mark"))
+    return cut_hot_keys(slim.where("tick IS NOT NULL"), ["user"], "tick", "mark", size)
+
+
+def test_large_keys_are_cut_into_small_pieces(spark):
+    # Half of the rows lie in a thousandth of the time.
+    rows = [(i, 0 if i % 3 else 1 + i % 50, at(i if i % 2 else 5_000_000 + i), 0.0) for i in range(6000)]
+    pieces = cut(spark, rows, 500)
+    found = pieces.counts.collect()
+    assert {r["user"] for r in found} == {0}
+    assert sum(r["n_rows"] for r in found) == 4000 and max(r["n_rows"] for r in found) <= 500
+    assert len(pieces.levels) > 1
+    ordered = sorted(found, key=lambda r: r["_piece"])
+    assert all(a["_high"] < b["_piece"] <= b["_low"] for a, b in zip(ordered, ordered[1:]))
+
 
+def test_there_is_no_limit_on_pieces(spark):
+    rows = [(i, 0, at(i), 0.0) for i in range(12_000)]
+    assert cut(spark, rows, 2).n_counts > 4096
 
-def test_no_large_keys_no_splits(spark):
-    assert key_splits(frame(spark, events(5, 100)), ["user"], "ts", 1000) is None
+
+def test_no_large_keys_no_pieces(spark):
+    assert cut(spark, events(5, 100), 1000) is None
+
+
+@pytest.mark.parametrize("allow_equal", [True, False])
+def test_one_crowded_time_is_spread(spark, allow_equal):
+    """Left rows of one key and time go to several parts, and each finds its match."""
+    left = [(i, 0, at(5), 0.0) for i in range(1000)] + [(2000, 0, at(3), 0.0), (2001, 0, at(9), 0.0)]
+    right = [(i, 0, at(5), 0.0) for i in range(700)] + [(5000, 0, at(1), 0.0)]
+    joined = asof_join(
+        frame(spark, left), frame(spark, right), ["user"], "ts", "ts", {"then": "ts", "other": "id"}, ["id"],
+        allow_equal, hot_rows=100,
+    )
+    assert sorted_rows(joined) == searched(left, right, allow_equal)
 
 
-def test_one_crowded_time_is_spread(spark):
-    """Left rows of one key and time go to as many pieces as splits share that time."""
-    rows = [(i, 0, at(5), 0.0) for i in range(1000)]
+@pytest.mark.parametrize("hot_rows", [10_000_000, 30])
+def test_two_parts_of_one_table(spark, hot_rows):
+    rows = events(7, 400)
     df = frame(spark, rows)
-    splits = key_splits(df, ["user"], "ts", 100)
-    assert (splits.n_values, splits.longest) == (9, 9)
-    points = df.select("user", F.col("ts").alias("_time"))
-    lefts = points.withColumn("_left", F.struct(F.monotonically_increasing_id().alias("id")))
-    rights = points.withColumn("_right", F.struct(F.lit(1).alias("id")))
-    for allow_equal in (True, False):
-        pieces = _in_pieces(lefts, rights, ["user"], splits, ["id"], allow_equal)
-        left_sizes = pieces.where("_left is not null").groupBy("_piece").count().collect()
-        assert len(left_sizes) == 10
-        assert max(r["count"] for r in left_sizes) < 150
-        assert pieces.where("_right is not null and _time is not null").count() == 1
-
-
-def test_rank_among_sorted(spark):
-    values = [1, 3, 3, 3, 8, 9, 20]
-    df = spark.range(0, 25).withColumn("values", F.array(*[F.lit(v) for v in values]))
-    for longest in (7, 8, 100):
-        for r in with_rank(df, "values", "id", longest, "rank").collect():
-            assert r["rank"] == sum(v < r["id"] for v in values)
-    missing = df.withColumn("values", F.lit(None).cast("array<bigint>"))
-    assert with_rank(missing, "values", "id", 7, "rank").agg(F.max("rank")).first()[0] == 0
+    even, third = F.col("id") % 2 == 0, F.col("id") % 3 == 0
+    joined = asof_within(
+        df, even, third, df.columns, ["user"], "ts", {"then": "ts", "other": "id"}, ["id"], True, hot_rows
+    )
+    left, right = [r for r in rows if r[0] % 2 == 0], [r for r in rows if r[0] % 3 == 0]
+    assert sorted_rows(joined) == searched(left, right, True)
+
+
+@pytest.mark.parametrize("hot_rows", [10_000_000, 60, 20])
+def test_registered_query_on_both_ways(spark, hot_rows):
+    folder = "/root/testdata/sf0.01"
+    found = event_before_purchase(Tables(spark, folder), hot_rows)
+    assert_same(found, folder, registered()["event_before_purchase"].sql)
+    sessions = user_sessions(Tables(spark, folder), hot_rows)
+    assert_same(sessions, folder, registered()["user_sessions"].sql)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "int", "bigint"])
+def test_ticks_keep_the_order_of_times(spark, kind):
+    value = "id" if "int" in kind else "DATE(FROM_UNIXTIME(id * 100000))"
+    df = spark.range(1, 5).selectExpr("id AS n", f"CAST({value} AS {kind}) AS t")
+    found = df.orderBy("n").select(ticks(df, "t")).collect()
+    assert [r[0] for r in found] == sorted({r[0] for r in found})

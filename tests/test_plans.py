@@ -6,8 +6,9 @@ from datetime import timedelta
 import pytest
 
 from quernwork.functions import count
-from quernwork.operators import asof_join, except_all, sessions
+from quernwork.operators import except_all, sessions
 from quernwork.plans import registered
+from quernwork.plans.events import event_before_purchase
 from quernwork.sources import Tables
 from tests.fixtures import events, frame
 
@@ -55,7 +56,6 @@ FILTERS = {
     "pricing_summary": "LessThanOrEqual(l_shipdate",
     "orders_with_returns": "EqualTo(l_returnflag,R)",
     "keys_intersect": "EqualTo(o_orderstatus,O)",
-    "event_before_purchase": "EqualTo(event_type,purchase)",
 }
 
 
@@ -110,11 +110,23 @@ def test_both_ways_of_a_result_read_one_shuffle(spark):
     assert "ReusedExchange" in final_plan(found)
 
 
-def test_a_hot_key_takes_no_join_of_its_rows(spark):
-    """Key lists and splits, whose size was counted, are all that as-of joins with."""
-    df = frame(spark, events(2, 400))
-    joined = asof_join(df, df, ["user"], "ts", "ts", {"then": "ts"}, ["id"], hot_rows=40)
+@pytest.mark.parametrize("hot_rows, scans", [(10_000_000, 1), (60, 2)])
+def test_events_are_read_once_or_twice_in_the_as_of_join(spark, hot_rows, scans):
+    """Twice where a key is hot: what stands before each piece is fetched by a join."""
+    joined = event_before_purchase(Tables(spark, "/root/testdata/sf0.01"), hot_rows)
     plan = final_plan(joined)
-    assert "BroadcastHashJoin" in plan
+    assert plan.count("FileScan parquet") == scans
     assert "SortMergeJoin" not in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_no_taken_column_is_broadcast(spark):
+    joined = event_before_purchase(Tables(spark, "/root/testdata/sf0.01"), 60)
+    plan = final_plan(joined).splitlines()
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            for below in plan[i + 1 :]:
+                if len(below) - len(below.lstrip(" :+-")) <= depth:
+                    break
+                assert "_right" not in below and "before_" not in below
