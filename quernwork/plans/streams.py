@@ -1,7 +1,7 @@
-"""The event windows as streams: the windows closed when the input runs out.
+"""The event windows as streams over a finite table: all windows, as in batch.
 
-The watermark ends an hour before the last event, so the SQL leaves out windows
-that end later.
+Those that the watermark passes come out of the stream; those still open when the input
+ends are read from its state.
 """
 
 from __future__ import annotations
@@ -26,47 +26,49 @@ from quernwork.sources import Tables, new_folder
 _DELAY = timedelta(hours=1)
 
 
-def _closed(windows: Callable[[DataFrame], DataFrame]) -> Callable[[Tables], DataFrame]:
-    """Run the events through ``windows`` as a stream and read what came out."""
+def _streamed(
+    windows: Callable[[DataFrame], DataFrame], by: list[str], name: str
+) -> Callable[[Tables], DataFrame]:
+    """Run the events through ``windows`` as a stream; what came out, and what is open."""
 
     def run(tables: Tables) -> DataFrame:
         own = Tables(streaming.event_session(tables.spark), tables.root)
         events = streaming.with_event_time(own.stream("events"), "ts", _DELAY)
         folder = new_folder(tables.spark, "stream")
-        streaming.run_to_table(
-            with_double_value(windows(events)), f"{folder}/table", f"{folder}/checkpoint"
-        )
-        return tables.spark.read.parquet(f"{folder}/table")
+        table, checkpoint = f"{folder}/table", f"{folder}/checkpoint"
+        streaming.run_to_table(windows(events), table, checkpoint)
+        # Written out, as the zone of times in the state is that of the stream's session.
+        opened = streaming.still_open(own.spark, checkpoint, by, name, values())
+        opened.write.parquet(f"{folder}/open")
+        read = tables.spark.read
+        return with_double_value(read.parquet(table).unionByName(read.parquet(f"{folder}/open")))
 
     return run
 
 
-def _closed_sql(windows: str, end: str) -> str:
-    return f"""
-SELECT * FROM ({windows})
-WHERE {end} <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)
-"""
-
-
 QUERIES = {
     "stream_events_per_day": Query(
-        _closed(
-            lambda events: streaming.tumbling(
-                events, ["event_type"], "ts", timedelta(days=1), values()
-            )
+        _streamed(
+            lambda events: streaming.tumbling(events, ["event_type"], "ts", timedelta(days=1), values()),
+            ["event_type"],
+            "window",
         ),
-        _closed_sql(EVENTS_PER_DAY_SQL, "window_end"),
+        EVENTS_PER_DAY_SQL,
     ),
     "stream_events_sliding": Query(
-        _closed(
+        _streamed(
             lambda events: streaming.sliding(
                 events, ["event_type"], "ts", timedelta(hours=6), timedelta(hours=2), values()
-            )
+            ),
+            ["event_type"],
+            "window",
         ),
-        _closed_sql(EVENTS_SLIDING_SQL, "window_end"),
+        EVENTS_SLIDING_SQL,
     ),
     "stream_user_sessions": Query(
-        _closed(lambda events: streaming.sessions(events, ["user_id"], "ts", GAP, values())),
-        _closed_sql(USER_SESSIONS_SQL, "session_end"),
+        _streamed(
+            lambda events: streaming.sessions(events, ["user_id"], "ts", GAP, values()), ["user_id"], "session"
+        ),
+        USER_SESSIONS_SQL,
     ),
 }

@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quernwork.functions.measures import Measure, columns, partials
 from quernwork.functions.times import micros
@@ -80,3 +81,31 @@ def _grouped(
             *columns(measures),
         )
     )
+
+
+def still_open(
+    spark: SparkSession, checkpoint: str, by: Sequence[str], name: str, measures: Sequence[Measure]
+) -> DataFrame:
+    """The windows that a stream holds in its state, as far as they have come.
+
+    For a finite input whose stream has ended: with the windows that came out they are
+    all there are. ``name`` is ``window`` or ``session``. Spark keeps the key and the
+    sums of a window in its state, in the order in which they were asked for.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    # The sums have no names of their own, so fields are taken by their places.
+    key, value = (_by_place(state, c) for c in ("key", "value"))
+    fields = value if name == "session" else [*key, *value]
+    *keys, window = fields[: len(by) + 1]
+    return state.select(
+        *[k.alias(b) for k, b in zip(keys, by)],
+        window["start"].cast("timestamp_ntz").alias(f"{name}_start"),
+        window["end"].cast("timestamp_ntz").alias(f"{name}_end"),
+        *[f.alias(c) for f, c in zip(fields[len(by) + 1 :], columns(measures), strict=True)],
+    )
+
+
+def _by_place(df: DataFrame, struct: str) -> list[Column]:
+    kinds = [f.dataType for f in df.schema[struct].dataType]
+    named = StructType([StructField(f"f{i}", kind) for i, kind in enumerate(kinds)])
+    return [F.col(struct).cast(named)[f"f{i}"] for i in range(len(kinds))]

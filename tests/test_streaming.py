@@ -78,9 +78,12 @@ def test_closed_windows_equal_batch(spark, tmp_path, kind):
     batch = {"tumbling": tumbling, "sliding": sliding, "sessions": sessions}[kind]
     whole = batch(frame(spark, rows), ["user"], "ts", *args, [count("n")])
     watermark = max(r[2] for r in rows if r[2] is not None) - MINUTE
-    end = F.col("session_end" if kind == "sessions" else "window_end")
-    assert found == sorted_rows(whole.where(end <= F.lit(watermark).cast("timestamp_ntz")))
+    name = "session" if kind == "sessions" else "window"
+    closed = F.col(f"{name}_end") <= F.lit(watermark).cast("timestamp_ntz")
+    assert found == sorted_rows(whole.where(closed))
     assert found
+    still = streaming.still_open(run.spark, run.checkpoint, ["user"], name, [count("n")])
+    assert sorted_rows(still) == sorted_rows(whole.where(~closed))
 
 
 def test_busy_keys_join_up_sessions_before_the_shuffle(spark, tmp_path):
