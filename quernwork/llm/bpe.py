@@ -17,18 +17,21 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 # Pairs of tokens, and texts with their tokens in each of two generations, that a
 # worker keeps; beyond that older ones are forgotten, which changes no token.
-MOST_PAIRS = 500_000
-MOST_TEXTS = 250_000
+MOST_PAIRS = 300_000
+MOST_TEXTS = 120_000
 # Tokens decoded at a time.
 DECODED = 4096
 
@@ -96,8 +99,9 @@ class Transducer:
                 for end in range(1, len(token) + 1):
                     self.begun.setdefault(token[:end], len(self.begun))
         self.spelled = list(self.begun)
-        # (state, byte) -> the next state, and the tokens that end there with their
-        # lengths, the longest first.
+        # A state, with the tokens that end in it and their lengths, the longest first;
+        # and by (state, byte) the next one.
+        self.entered: dict[int, tuple[int, list[tuple[int, int]]]] = {}
         self.moves: dict[int, tuple[int, list[tuple[int, int]]]] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
@@ -153,9 +157,13 @@ class Transducer:
         text = self.spelled[state] + bytes([byte])
         while text not in self.begun:
             text = text[1:]
-        ends = [text[i:] for i in range(len(text))]
-        tokens = [(self.ranks[t], len(t)) for t in ends if t in self.ranks and t not in self.whole_only]
-        found = self.moves[state << 8 | byte] = (self.begun[text], tokens)
+        after = self.begun[text]
+        found = self.entered.get(after)
+        if found is None:
+            ends = [text[i:] for i in range(len(text))]
+            tokens = [(self.ranks[t], len(t)) for t in ends if t in self.ranks and t not in self.whole_only]
+            found = self.entered[after] = (after, tokens)
+        self.moves[state << 8 | byte] = found
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -247,16 +255,16 @@ class Utf8Reader:
 class Known(dict):
     """A function's results for short texts: those used of late, in two generations."""
 
-    def __init__(self, find) -> None:
+    def __init__(self, find: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.find, self.older = find, {}
+        self.find, self.most, self.older = find, most, {}
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
+    def __missing__(self, text: str) -> bytes:
         found = self.older.get(text)
         if found is None:
             found = self.find(text)
         if len(text) <= 64:
-            if len(self) >= MOST_TEXTS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[text] = found
@@ -264,36 +272,36 @@ class Known(dict):
 
 
 class Codec:
-    """Texts to tokens and back."""
+    """Texts to tokens and back. Tokens are kept as the bytes of ints of 32 bits."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.transducer = Transducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
-        self.piece = Known(lambda piece: self.transducer.encode(piece.encode()))
-        self.word = Known(self._after_space)
+        self.piece = Known(self._piece, MOST_TEXTS // 2)
+        self.word = Known(self._after_space, MOST_TEXTS)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.transducer.encode(piece.encode())).tobytes()
 
-    def _after_space(self, word: str) -> tuple[int, ...]:
+    def _after_space(self, word: str) -> bytes:
         # Letters after a space are one piece.
-        if word.isalpha():
-            return self.transducer.encode(f" {word}".encode())
-        return tuple(self._encode(f" {word}"))
+        return self._piece(f" {word}") if word.isalpha() else self._pieces(f" {word}")
 
-    def _encode(self, text: str) -> list[int]:
+    def _pieces(self, text: str) -> bytes:
         piece = self.piece
-        return [token for match in self.split(text) for token in piece[match]]
+        return b"".join([piece[match] for match in self.split(text)])
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         if not self.spaced or _UNSURE.search(text):
-            return self._encode(text)
+            return self._pieces(text)
         first, *words = text.split(" ")
         word = self.word
-        return self._encode(first) + [token for w in words for token in word[w]]
+        return self._pieces(first) + b"".join([word[w] for w in words])
 
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
+    def decode(self, ids: list[int]) -> Iterator[str]:
         """The text of ``ids``, a part at a time."""
         reader, tokens = Utf8Reader(), self.transducer.tokens
-        ids = list(ids)
         for at in range(0, len(ids), DECODED):
             yield reader.feed(b"".join([tokens[i] for i in ids[at : at + DECODED]]))
         yield reader.finish()
@@ -316,18 +324,26 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         known = codec(path, pattern)
-        found = [known.encode(t) if t else [] for t in texts.to_pylist()]
-        return pa.array(found, pa.list_(pa.int32()))
+        found = [known.encode(t) if t else b"" for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        values = pa.array(np.frombuffer(b"".join(found), np.int32))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
     return run(text)
 
 
+def _lengths(arrays: pa.Array) -> list[int]:
+    return pc.fill_null(pc.list_value_length(arrays), 0).to_pylist()
+
+
 def decode(ids: Column, path: str, pattern: str) -> Column:
     """The text that token ids stand for; empty for a null or empty array."""
 
     @arrow_udf("string")
     def run(arrays: pa.Array) -> pa.Array:
         known = codec(path, pattern)
-        return pa.array(["".join(known.decode(a or [])) for a in arrays.to_pylist()], pa.string())
+        values, ends = arrays.flatten().to_numpy(), np.cumsum([0, *_lengths(arrays)])
+        found = ["".join(known.decode(values[a:b].tolist())) for a, b in zip(ends, ends[1:])]
+        return pa.array(found, pa.string())
 
     return run(ids)

@@ -10,7 +10,7 @@ from quernwork.sources.shared import ensure_checkpoint_dir, new_folder
 
 # Rows of one Arrow batch. Texts may be long, so batches stay far below the
 # default of 10,000 rows; a batch is all that a Python task holds of its input.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from hypothesis import given, settings
@@ -17,20 +18,26 @@ LIBRARY = tiktoken.Encoding(
     "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={}
 )
 OURS = codec(PATH, public_tokenizers.PATTERN)
+
+
+def encoded(text):
+    return np.frombuffer(OURS.encode(text), np.int32).tolist()
+
+
 TEXTS = st.text() | st.text("abehtrn A \n'\t\x85\x1cés日😀01.,=", max_size=80)
 
 
 @settings(max_examples=600, deadline=None)
 @given(TEXTS.filter(lambda t: t.isprintable() or t.encode("utf-8", "ignore").decode() == t))
 def test_same_as_the_library(text):
-    ids = OURS.encode(text)
+    ids = encoded(text)
     assert ids == LIBRARY.encode_ordinary(text)
     assert "".join(OURS.decode(ids)) == text
 
 
 def test_long_pieces():
     for text in ("a" * 20_000, " " * 3000 + "x", "ab" * 9000, "=-" * 5000 + "é" * 3000):
-        assert OURS.encode(text) == LIBRARY.encode_ordinary(text)
+        assert encoded(text) == LIBRARY.encode_ordinary(text)
 
 
 def test_vocabulary_whose_tokens_do_not_all_merge():
