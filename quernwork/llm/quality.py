@@ -17,8 +17,8 @@ from pyspark.sql.functions import arrow_udf
 from quernwork.llm.common import bounded_batches
 
 # Labelled rows that are fitted on and broadcast, at most: with DIMENSIONS and BUCKETS
-# this bounds the broadcast to some 1 MB and what the driver holds to some 200 MB.
-LABELLED = 8192
+# this bounds the broadcast to some 1 MB and what the driver holds to some 150 MB.
+LABELLED = 4096
 # Hashed word forms, and dimensions of the latent space.
 BUCKETS = 2048
 DIMENSIONS = 32
@@ -27,7 +27,7 @@ NEIGHBOURS = 8
 POWER = 4
 # A score from which label 1 is predicted.
 THRESHOLD = 0.3
-# Texts compared with all labelled vectors at once: 4 MB of products.
+# Texts compared with all labelled vectors at once: 2 MB of products.
 BLOCK = 128
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
