@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from quernwork.llm.common import bounded_batches, partitions, stored
 
 # Tokens of a pack, about.
-PACK = 1_500_000
-# Rows of payloads in one batch; a payload has some 100 KB.
-PAYLOADS = 128
+PACK = 600_000
+# Rows of packs and payloads in one batch; a pack has some 1.5 MB.
+PAYLOADS = 16
 # Hashes of what stands before a text and what ends it.
 BEGIN, END = 1, 2
 # A first word that begins more than this share of all bigrams is dealt out by the
@@ -37,7 +37,7 @@ BEGIN, END = 1, 2
 HOT = 0.002
 SAMPLED = 2000
 # Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 _WORD_BYTES, _NEXT_BYTES = 6, 5
 
