@@ -30,8 +30,8 @@ from pyspark.sql.functions import arrow_udf
 
 # Pairs of tokens, and texts with their tokens in each of two generations, that a
 # worker keeps; beyond that older ones are forgotten, which changes no token.
-MOST_PAIRS = 300_000
-MOST_TEXTS = 120_000
+MOST_PAIRS = 400_000
+MOST_TEXTS = 100_000
 # Tokens decoded at a time.
 DECODED = 4096
 
@@ -71,6 +71,12 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[list[bytes], tuple |
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
+# Where each byte leads, as far as texts have asked; the tokens that end here with their
+# lengths, the longest first, and the tokens that they may follow or not; and the bytes
+# that the state stands for.
+State = tuple[dict[int, "State"], list[tuple[int, int, set[int], set[int]]], bytes]
+
+
 class Transducer:
     """Merges compiled to what may follow what, and the moves made so far."""
 
@@ -91,18 +97,13 @@ class Transducer:
         # Merges run in the order of ranks only if no token has a part of higher rank.
         self.ordered = all(ranks[p] < ranks[t] or len(p) == 1 for t, two in self.split.items() for p in two)
         self.edges: dict[tuple[int, int], list] = {}
-        self.follows: dict[int, bool] = {}
-        # States by the bytes they stand for: all that a token may begin with.
-        self.begun: dict[bytes, int] = {b"": 0}
-        for token in ranks:
-            if token not in self.whole_only:
-                for end in range(1, len(token) + 1):
-                    self.begun.setdefault(token[:end], len(self.begun))
-        self.spelled = list(self.begun)
-        # A state, with the tokens that end in it and their lengths, the longest first;
-        # and by (state, byte) the next one.
-        self.entered: dict[int, tuple[int, list[tuple[int, int]]]] = {}
-        self.moves: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+        self.begun = {token[:end] for token in ranks for end in range(len(token) + 1)}
+        # For each token those that it may follow, and those that it may not.
+        self.fits: dict[int, tuple[set[int], set[int]]] = {}
+        self.pairs = 0
+        # States by the bytes they stand for.
+        self.states: dict[bytes, State] = {}
+        self.start = self._state(b"")
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
         """What stands at one end of a token while it is being merged.
@@ -129,9 +130,6 @@ class Transducer:
         before either is taken up by its own token. Of equal merges the left one
         comes first.
         """
-        known = self.follows.get(left << 32 | right)
-        if known is not None:
-            return known
         if self.ordered:
             known, ends, begins = True, self._edge(left, 1), self._edge(right, 0)
             i = j = 0
@@ -147,23 +145,30 @@ class Transducer:
         else:
             pair = [self.tokens[left], self.tokens[right]]
             known = merged(b"".join(pair), self.ranks)[0] == pair
-        if len(self.follows) > MOST_PAIRS:
-            self.follows.clear()
-        self.follows[left << 32 | right] = known
+        if self.pairs > MOST_PAIRS:
+            for sets in self.fits.values():
+                for one in sets:
+                    one.clear()
+            self.pairs = 0
+        self.pairs += 1
+        self.fits[right][0 if known else 1].add(left)
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, list[tuple[int, int]]]:
-        """The state after one more byte, and what may end there."""
-        text = self.spelled[state] + bytes([byte])
-        while text not in self.begun:
-            text = text[1:]
-        after = self.begun[text]
-        found = self.entered.get(after)
+    def _state(self, text: bytes) -> State:
+        found = self.states.get(text)
         if found is None:
             ends = [text[i:] for i in range(len(text))]
-            tokens = [(self.ranks[t], len(t)) for t in ends if t in self.ranks and t not in self.whole_only]
-            found = self.entered[after] = (after, tokens)
-        self.moves[state << 8 | byte] = found
+            tokens = [self.ranks[t] for t in ends if t in self.ranks and t not in self.whole_only]
+            ending = [(t, len(self.tokens[t]), *self.fits.setdefault(t, (set(), set()))) for t in tokens]
+            found = self.states[text] = ({}, ending, text)
+        return found
+
+    def move(self, state: State, byte: int) -> State:
+        """The state after one more byte."""
+        text = state[2] + bytes([byte])
+        while text not in self.begun:
+            text = text[1:]
+        found = state[0][byte] = self._state(text)
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -171,26 +176,24 @@ class Transducer:
         whole = self.whole_only.get(piece)
         if whole is not None:
             return (whole,)
-        moves, follows = self.moves.get, self.follows.get
         out: list[int] = []
         # The token that ends at each place since the last emitted one, which is the
         # first here; -1 stands at the beginning of the piece.
         # No token that ends later begins before it, so none is longer than this.
-        last, state = [-1], 0
+        last, state = [-1], self.start
         for byte in piece:
-            state, ending = moves(state << 8 | byte) or self.move(state, byte)
-            for token, length in ending:
+            state = state[0].get(byte) or self.move(state, byte)
+            for token, length, after, never in state[1]:
                 before = last[-length]
-                if before < 0:
+                if before < 0 or before in after:
                     break
-                fits = follows(before << 32 | token)
-                if fits or (fits is None and self.may_follow(before, token)):
+                if before not in never and self.may_follow(before, token):
                     break
             else:
                 raise ValueError(f"no token ends in byte {byte}: the vocabulary lacks single bytes")
             last.append(token)
             if len(last) > EMITTED:
-                last = self._emit(last, state, out)
+                last = self._emit(last, state[2], out)
         out += self._chain(last, len(last) - 1)
         return tuple(out)
 
@@ -203,9 +206,9 @@ class Transducer:
         found.reverse()
         return found
 
-    def _emit(self, last: list[int], state: int, out: list[int]) -> list[int]:
+    def _emit(self, last: list[int], text: bytes, out: list[int]) -> list[int]:
         """Emit the tokens on which all places agree where a token may still begin."""
-        text, places = self.spelled[state], {len(last) - 1}
+        places = {len(last) - 1}
         for size in range(1, len(text) + 1):
             if text[len(text) - size :] in self.begun:
                 places.add(len(last) - 1 - size)
@@ -347,3 +350,23 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
         return pa.array(found, pa.string())
 
     return run(ids)
+
+
+def encode_proved(text: Column, path: str, pattern: str) -> Column:
+    """``ids`` as ``encode`` gives them, and whether they decode to the text (``same``).
+
+    Both in one place, so that a task needs one worker and one codec.
+    """
+
+    @arrow_udf("struct<ids: array<int>, same: boolean>")
+    def run(texts: pa.Array) -> pa.Array:
+        known = codec(path, pattern)
+        rows = [t or "" for t in texts.to_pylist()]
+        found = [np.frombuffer(known.encode(t), np.int32) for t in rows]
+        same = ["".join(known.decode(f.tolist())) == t for f, t in zip(found, rows)]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        values = np.concatenate([np.zeros(0, np.int32), *found])
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "same"])
+
+    return run(text)
