@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernwork.llm.bpe import decode, encode
+from quernwork.llm.bpe import encode_proved
 from quernwork.llm.common import bounded_batches, durable, free_name, stored
 from quernwork.llm.mixing import WORD, mix, random_key, words
 from quernwork.llm.q03_bpe import VOCABULARY
@@ -145,9 +145,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     by = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     ids, count, same = (free_name(docs.columns, n) for n in ("ids", "n_tokens", "decodes"))
-    encoded = docs.withColumn(ids, encode(F.col("text"), *by))
-    whole = decode(F.col(ids), *by) == F.coalesce("text", F.lit(""))
-    return encoded.withColumns({count: F.size(ids).cast("long"), same: whole})
+    both = free_name(docs.columns, "encoded")
+    encoded = docs.withColumn(both, encode_proved(F.col("text"), *by))
+    found = encoded.withColumns(
+        {ids: F.col(both)["ids"], count: F.size(F.col(both)["ids"]).cast("long"), same: F.col(both)["same"]}
+    )
+    return found.drop(both)
 
 
 STAGES = [

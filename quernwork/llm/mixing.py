@@ -41,6 +41,7 @@ def targets(
     weight until none is above. Each round is one aggregate over the sources, and
     stops at least one more of them.
 
+    Sources are numbered in one task, which sees a row for each source and no more.
     Adds ``weight`` and ``target``.
     """
     n = len(weights)

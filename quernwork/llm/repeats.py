@@ -32,13 +32,14 @@ from quernwork.llm.anchors import SPAN, WINDOW, runs
 from quernwork.llm.bwt import Shard, interleave
 from quernwork.llm.common import BATCH_ROWS, bounded_batches, durable, free_name, partitions
 
-# Bytes of runs that are merged at once, and of one shard.
-MERGED = 1 << 18
+# Bytes of runs that are merged at once, and of one shard; what a merge looks at then
+# stays in the cache of a core.
+MERGED = 1 << 17
 SHARD = 1 << 16
 # Distinct runs of one anchor above which they are dealt anew, window by window.
 LARGE = 20_000
 # Runs of which a task remembers that it has given them on.
-REMEMBERED = 300_000
+REMEMBERED = 50_000
 # Rows of runs that are looked at together.
 SMALL_ROWS = 20_000
 # Bits of an anchor that decide where runs meet. Others than equal windows may meet.
