@@ -25,18 +25,19 @@ from pyspark.sql import functions as F
 from quernwork.llm.bpe import encode_proved
 from quernwork.llm.common import bounded_batches, durable, free_name, stored
 from quernwork.llm.mixing import WORD, mix, random_key, words
+from quernwork.llm.near_copies import proved_roots, sketch
 from quernwork.llm.q03_bpe import VOCABULARY
 from quernwork.llm.q06_quality import fitted
 from quernwork.llm.quality import THRESHOLD, score
 from quernwork.llm.repeats import readable, remove_repeats
-from quernwork.llm.simhash import classes, fingerprint
 from quernwork.sources import Tables
 
-# Near copies share 0.8 or more of their shingles of five words. Their fingerprints of
-# 128 bits then differ in 19 bits on average, those of texts that share nothing in 64.
+# Near copies share 0.8 or more of their distinct shingles of five words. Fingerprints of
+# 192 bits then differ in 29 bits on average, those of texts that share nothing in 96; they
+# only say which texts are compared.
 SHINGLE = 5
-PRINT_WORDS = 2
-PRINT_BITS = 24
+PRINT_WORDS = 3
+PRINT_BITS = 48
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -59,14 +60,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: of the smallest id, null last.
 
     Documents of one id are told apart by a hash of their text, and of those alike in
-    both any one stays. Long fingerprints are linked at ``PRINT_BITS`` bits.
+    both any one stays. Whatever a chain of near copies links is one group.
     """
     bounded_batches(spark)
     digest = F.xxhash64("text")
-    rows = docs.select(
-        "doc_id", digest.alias("digest"), fingerprint(F.col("text"), SHINGLE, PRINT_WORDS).alias("print")
-    )
-    grouped = classes(stored(rows, "prints"), "doc_id", "print", PRINT_BITS)
+    rows = docs.select("doc_id", digest.alias("digest"), sketch(F.col("text"), SHINGLE, PRINT_WORDS).alias("s"))
+    rows = stored(rows.select("doc_id", "digest", "s.*"), "prints")
+    roots = proved_roots(rows, docs.select(digest.alias("digest"), "text"), SHINGLE, PRINT_BITS)
+    grouped = rows.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     chosen = (
         grouped.groupBy("root")

@@ -45,16 +45,25 @@ def simhash(text: str, size: int = SHINGLE, words: int = 1) -> bytes:
     shingle; a text without words has all bits 0. Further ``words`` of 64 bits take
     the same hashes, mixed once more.
     """
+    return majority(shingle_hashes(text, size), words)
+
+
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle of a text, repeats included."""
     found = text.encode().lower().split()
     if not found:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     size = min(size, len(found))
     starts = np.concatenate([[0], ends[: len(found) - size] + 1]).tolist()
-    hashes = np.array(
+    return np.array(
         [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64
     )
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> bytes:
+    """The bits set in over half the hashes; none of no hashes."""
     out = []
     for word in range(words):
         if word:
