@@ -4,14 +4,15 @@ Where the windows of all texts that could be equal meet, they are sorted as suff
 Burrows-Wheeler transforms of shards are merged, and an interval of suffixes that share
 100 bytes is a repeated string. What could be equal is found by anchors (``anchors``).
 
-1. Each text gives its runs: anchor, a digest of the run's bytes, document and place.
+1. Each text gives its runs: anchor, a digest of the run's bytes, document, mark of the
+   text, and place.
 2. Runs meet by anchor. Of runs with equal bytes all but the first are covered. An
    anchor that is left with one run, in which nothing can repeat, is done.
 3. The bytes of the other runs are fetched and merged, anchor by anchor; of equal
    windows all but the first are covered.
 4. Covered windows meet their text, and the bytes they cover are removed.
 
-Only 4 longs of a run go through a shuffle, and texts, compressed, twice.
+Only 5 longs of a run go through a shuffle, and texts, compressed, twice.
 """
 
 from __future__ import annotations
@@ -45,9 +46,9 @@ SMALL_ROWS = 20_000
 # Bits of an anchor that decide where runs meet. Others than equal windows may meet.
 ANCHOR_BITS = 40
 
-# A place is one long: 16 bits of a hash of the text, 32 of the first window, 8 of
-# the number of windows, of which the top one says that they may be equal.
-_TEXT, _FIRST, _SEVERAL = 40, 8, 128
+# A place is one long: 32 bits of the first window, 8 of the number of windows, of which
+# the top one says that they may be equal. The text is told by its id and its mark.
+_FIRST, _SEVERAL = 8, 128
 _LAST_ID = np.iinfo(np.int64).max
 
 
@@ -64,20 +65,21 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mark(text: bytes) -> int:
-    """16 bits that tell texts of one id apart."""
-    return xxhash.xxh64_intdigest(text) & 0xFFFF
+    """64 bits of a hash that tell texts of one id apart; its lowest 16 order first."""
+    found = xxhash.xxh64_intdigest(text)
+    return ((found & 0xFFFF) << 48 | found >> 16) - 2**63
 
 
 def _rows(names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names)
 
 
-_RUN = ["anchor", "digest", "doc", "place"]
+_RUN = ["anchor", "digest", "doc", "mark", "place"]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of all texts; anchor -1 marks one that an earlier one covers for sure."""
-    seen: dict[int, tuple[int, int]] = {}
+    seen: dict[int, tuple[int, int, int]] = {}
     for batch in batches:
         out: list[list[np.ndarray]] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -88,44 +90,45 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor, first, count, several = runs(np.frombuffer(data, np.uint8))
             ends = (first + count + WINDOW - 1).tolist()
             digest = [xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends)]
-            place = (_mark(data) << _TEXT) | (first << _FIRST) | count | (several * _SEVERAL)
+            mark = _mark(data)
+            place = (first << _FIRST) | count | (several * _SEVERAL)
             anchor = (anchor >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
             for i, (d, p) in enumerate(zip(digest, place.tolist())):
                 before = seen.get(d)
-                if before is None or (doc, p) < before:
-                    seen[d] = (doc, p)
-                elif (doc, p) > before:
+                if before is None or (doc, mark, p) < before:
+                    seen[d] = (doc, mark, p)
+                elif (doc, mark, p) > before:
                     anchor[i] = -1
             if len(seen) > REMEMBERED:
                 seen.clear()
             digest = np.array(digest, np.uint64).view(np.int64)
-            out.append([anchor, digest, np.full(len(first), doc), place])
+            out.append([anchor, digest, np.full(len(first), doc), np.full(len(first), mark), place])
         if out:
             yield _rows(_RUN, [np.concatenate(c) for c in zip(*out)])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs in order of anchor, digest, document and place: covered ones, and open ones.
+    """Runs in order of anchor, digest, document, mark and place: covered ones, and open ones.
 
     A run like one before it is covered (anchor -1). The first of its kind is open if
     its anchor has others, or it may repeat itself. The rest is dropped. Only the last
     run of a batch is kept, to be judged with the next.
     """
     held: list[np.ndarray] | None = None
-    last: tuple[int, int, int, int] | None = None  # anchor, digest, and first of its kind
+    last: tuple[int, ...] | None = None  # anchor, digest, and first of its kind
     for batch in itertools.chain(_gathered(batches), [None]):
         if batch is None:
-            now = held or [np.zeros(0, np.int64)] * 4
+            now = held or [np.zeros(0, np.int64)] * 5
             following = None
         else:
-            columns = [np.asarray(batch.column(i)) for i in range(4)]
+            columns = [np.asarray(batch.column(i)) for i in range(5)]
             if held is not None:
                 columns = [np.concatenate(c) for c in zip(held, columns)]
             if not len(columns[0]):
                 continue
             now, held = [c[:-1] for c in columns], [c[-1:] for c in columns]
             following = int(held[0][0])
-        anchor, digest, doc, place = now
+        anchor, digest, doc, mark, place = now
         n = len(anchor)
         if not n:
             continue
@@ -135,11 +138,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = (anchor == before_a) & (digest == before_d) & ~given
         # The first of the kind that each run belongs to.
         kind = np.maximum.accumulate(np.where(same, -1, np.arange(n)))
-        first_doc, first_place = doc[kind], place[kind]
+        first_doc, first_mark, first_place = doc[kind], mark[kind], place[kind]
         if last is not None and kind[0] < 0:
             carried = kind < 0
-            first_doc[carried], first_place[carried] = last[2], last[3]
-        covered = given | (same & ((doc != first_doc) | (place != first_place)))
+            first_doc[carried], first_mark[carried], first_place[carried] = last[2:]
+        covered = given | (same & ((doc != first_doc) | (mark != first_mark) | (place != first_place)))
         # Whether an anchor has several kinds; one that goes on beyond the batch may have.
         edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         kinds = np.add.reduceat((~same).astype(np.int64), edge)
@@ -148,8 +151,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = ~same & ~given & (more | ((place & _SEVERAL) > 0))
         out = covered | open_
         if out.any():
-            yield _rows(_RUN, [np.where(covered, -1, anchor)[out], digest[out], doc[out], place[out]])
-        last = (int(anchor[-1]), int(digest[-1]), int(first_doc[-1]), int(first_place[-1]))
+            given_on = [np.where(covered, -1, anchor), digest, doc, mark, place]
+            yield _rows(_RUN, [c[out] for c in given_on])
+        last = tuple(int(c[-1]) for c in (anchor, digest, first_doc, first_mark, first_place))
 
 
 class _Beside:
@@ -181,16 +185,16 @@ class _Beside:
 
 def _fetch(batches: Iterator[pa.RecordBatch], large: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """The bytes of open runs; of a large anchor, each window as a run of its own."""
-    names = ["anchor", "digest", "doc", "place", "data"]
+    names = [*_RUN, "data"]
     out: list[tuple] = []
 
     def block() -> pa.RecordBatch:
         columns = list(zip(*out))
         out.clear()
-        types = [pa.int64()] * 4 + [pa.binary()]
+        types = [pa.int64()] * 5 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    for texts, data, items in _Beside(2)(batches):
+    for texts, data, items in _Beside(3)(batches):
         for place, anchor in items:
             first, count = (place >> _FIRST) & 0xFFFFFFFF, place & (_SEVERAL - 1)
             if anchor in large:
@@ -198,21 +202,22 @@ def _fetch(batches: Iterator[pa.RecordBatch], large: frozenset[int]) -> Iterator
                     window = data[at : at + WINDOW]
                     digest = xxhash.xxh64_intdigest(window) - 2**63
                     again = xxhash.xxh64_intdigest(window, 1) >> (64 - ANCHOR_BITS)
-                    mark = place >> _TEXT
-                    out.append((again, digest, texts[0][0], mark << _TEXT | at << _FIRST | 1, None))
+                    out.append((again, digest, *texts[0], at << _FIRST | 1, None))
             else:
                 piece = data[first : first + count + WINDOW - 1]
-                out.append((anchor, 0, texts[0][0], place, piece))
+                out.append((anchor, 0, *texts[0], place, piece))
         if len(out) >= 4 * BATCH_ROWS:
             yield block()
     if out:
         yield block()
 
 
-def covered_windows(pieces: list[bytes], docs: np.ndarray, places: np.ndarray) -> tuple:
+def covered_windows(
+    pieces: list[bytes], docs: np.ndarray, marks: np.ndarray, places: np.ndarray
+) -> tuple:
     """Of the windows of all pieces, those equal to one of an earlier document or place.
 
-    Gives documents and places, a row for windows in a row.
+    Gives documents, marks and places, a row for windows in a row.
     """
     shards, group, size = [], [], 0
     for piece in pieces:
@@ -238,7 +243,7 @@ def covered_windows(pieces: list[bytes], docs: np.ndarray, places: np.ndarray) -
     suffix, interval = suffix[again], interval[again]
     owner = piece[suffix]
     where = (places[owner] >> _FIRST) + inside[suffix]
-    order = np.lexsort((where, docs[owner], interval))
+    order = np.lexsort((where, marks[owner], docs[owner], interval))
     owner, where, interval = owner[order], where[order], interval[order]
     late = np.zeros(len(order), bool)
     late[1:] = interval[1:] == interval[:-1]
@@ -246,29 +251,30 @@ def covered_windows(pieces: list[bytes], docs: np.ndarray, places: np.ndarray) -
     order = np.lexsort((where, owner))
     owner, where = owner[order], where[order]
     if not len(owner):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] != where[:-1] + 1)]))
     n = np.diff(np.concatenate([edge, [len(owner)]]))
-    return docs[owner[edge]], (where[edge] << _FIRST) | n
+    return docs[owner[edge]], marks[owner[edge]], (where[edge] << _FIRST) | n
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open runs in order of anchor: whole anchors are merged, several at once."""
-    pieces, docs, places, size, current = [], [], [], 0, None
+    pieces, docs, marks, places, size, current = [], [], [], [], 0, None
 
     def found() -> pa.RecordBatch:
-        doc, place = covered_windows(pieces, np.array(docs), np.array(places))
-        return _rows(["doc", "place"], [doc, place])
+        found = covered_windows(pieces, np.array(docs), np.array(marks), np.array(places))
+        return _rows(["doc", "mark", "place"], list(found))
 
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(4)]
-        for anchor, doc, place, data in zip(*columns):
+        columns = [batch.column(i).to_pylist() for i in range(5)]
+        for anchor, doc, mark, place, data in zip(*columns):
             if anchor != current and size >= MERGED:
                 yield found()
-                pieces, docs, places, size = [], [], [], 0
+                pieces, docs, marks, places, size = [], [], [], [], 0
             current = anchor
             pieces.append(data)
             docs.append(doc)
+            marks.append(mark)
             places.append(place)
             size += len(data) + 1
     if pieces:
@@ -282,7 +288,7 @@ def _remove(batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[pa.RecordB
         return
     batches = itertools.chain([head], batches)
     counts = [pa.field(name, pa.int64()) for name in ("n_bytes", "n_removed", "n_spans")]
-    schema = pa.schema([*list(head.schema)[6:], *counts, pa.field("kept", pa.binary())])
+    schema = pa.schema([*list(head.schema)[7:], *counts, pa.field("kept", pa.binary())])
     out: list[tuple] = []
 
     def block() -> pa.RecordBatch:
@@ -305,7 +311,7 @@ def _remove(batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[pa.RecordB
             # Of rows alike in id and text, the first says it all.
             whole = i > 0 and len(data) >= WINDOW
             removed, spans = (len(data), 1) if whole else (int(gone.sum()), begun)
-            out.append((*row[1:], len(data), removed, spans, b"" if whole else rest))
+            out.append((*row[2:], len(data), removed, spans, b"" if whole else rest))
         size += len(rest)
         if len(out) >= BATCH_ROWS or size > 1 << 24:
             yield block()
@@ -320,7 +326,7 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
     A byte goes if a string of 100 bytes covers it that also starts earlier: in a row
     of smaller id, or in the same text before. Strings are judged on the texts as
     given, UTF-8; overlaps count; they never cross texts. Null texts are empty. Null
-    ids come last. Rows of one id go by a hash of their text; rows of one id and text
+    ids come last. Rows of one id go by a hash of 64 bits of their text; rows of one id and text
     are one row and its copies, which are removed whole if they have 100 bytes. Other
     columns are kept, whatever their names.
 
@@ -333,7 +339,7 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
     doc = free_name(names, "doc")
     plain = rows.withColumn(doc, F.coalesce(F.col(id_).cast("long"), F.lit(int(_LAST_ID))))
     source = plain.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
-    run_schema = "anchor long, digest long, doc long, place long"
+    run_schema = "anchor long, digest long, doc long, mark long, place long"
     bounded_batches(spark)
     scanned = source.mapInArrow(_scan, run_schema)
     # A run that is covered already has no anchor to meet others by.
@@ -361,15 +367,17 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
             F.lit(-1).cast("long").alias("anchor"),
             F.col("packed.data").alias("data"),
             F.col("doc").alias("own"),
+            F.col("packed.mark").alias("own_mark"),
             *[f"c{i}" for i in range(len(carried))],
         )
         others = items.select(
             "doc",
-            F.shiftright("place", _TEXT).alias("mark"),
+            "mark",
             "place",
             "anchor",
             F.lit(None).cast("binary").alias("data"),
             "doc",
+            "mark",
             *empty,
         )
         return (
@@ -378,23 +386,23 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
             .sortWithinPartitions("doc", "mark", "place")
         )
 
-    covered = settled.where("anchor < 0").select("doc", "place", "anchor")
+    covered = settled.where("anchor < 0").select("doc", "mark", "place", "anchor")
     opened = settled.where("anchor >= 0")
     fetched = beside(opened, []).mapInArrow(
         lambda b: _fetch(b, large), f"{run_schema}, data binary"
     )
     if large:
         fetched = durable(fetched)
-    met = fetched.where("data IS NOT NULL").select("anchor", "doc", "place", "data")
-    met = met.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "place")
-    merged = met.mapInArrow(_merge, "doc long, place long")
+    met = fetched.where("data IS NOT NULL").select("anchor", "doc", "mark", "place", "data")
+    met = met.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "mark", "place")
+    merged = met.mapInArrow(_merge, "doc long, mark long, place long")
     if large:
         # Windows that meet by their own digest: equal ones are runs of one kind.
         windows = fetched.where("data IS NULL").drop("data").repartition(n, "anchor")
         found = windows.sortWithinPartitions(*_RUN).mapInArrow(_settle, run_schema)
-        merged = merged.union(found.where("anchor < 0").select("doc", "place"))
+        merged = merged.union(found.where("anchor < 0").select("doc", "mark", "place"))
     none = F.lit(-1).cast("long").alias("anchor")
-    covered = covered.union(durable(merged).select("doc", "place", none))
+    covered = covered.union(durable(merged).select("doc", "mark", "place", none))
     added = [
         T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()),
@@ -404,7 +412,7 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
     others = [c for c in names if c != text]
     fields = [T.StructField(f"c{i}", plain.schema[c].dataType) for i, c in enumerate(others)]
     schema = T.StructType(fields + added)
-    width = 2 + len(others)
+    width = 3 + len(others)
     removed = beside(covered, others).mapInArrow(lambda b: _remove(b, width), schema)
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(others)]
     return removed.select(*kept, F.struct(*[f.name for f in added]).alias(into))
