@@ -31,7 +31,7 @@ QUARTERS = 4
 VALUES = 1 << 16
 # Values of a leaf of the tree.
 LEAF = 1
-# Fingerprints of one shard above which it is cut again, by a second quarter.
+# Fingerprints of one shard above which it is cut again.
 LARGE = 100_000
 # Fingerprints compared with those of a shard at once.
 BLOCK = 256
@@ -149,20 +149,47 @@ def _quarter(prints: np.ndarray, q: int) -> np.ndarray:
     return (word & np.uint64(VALUES - 1)).astype(np.uint16)
 
 
-def _deal(batches: Iterator[pa.RecordBatch], large: frozenset[int], neighbours) -> Iterator[pa.RecordBatch]:
+def _mixed(vertices: np.ndarray) -> np.ndarray:
+    """Vertices as evenly spread numbers of 32 bits."""
+    return (vertices.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+
+
+def _blocks(key, asks, at, dealt_by, hot_keys, hot_parts) -> Iterator[tuple]:
+    """The rows of large shards, each to the blocks of its part with every part.
+
+    Rows of two parts meet in the block of these two, and in no other.
+    """
+    parts = hot_parts[np.searchsorted(hot_keys, key)]
+    own = (dealt_by[at] % parts.astype(np.uint64)).astype(np.int64)
+    for other in range(int(parts.max())):
+        has = other < parts
+        low, high = np.minimum(own[has], other), np.maximum(own[has], other)
+        yield -1 - (key[has] << 42 | low << 21 | high), asks[has], at[has]
+
+
+def _deal(
+    batches: Iterator[pa.RecordBatch], large: dict[int, int], neighbours, bits: int
+) -> Iterator[pa.RecordBatch]:
     """Each fingerprint to the shard it lives in and those it asks at, for each quarter.
 
     A pair that meets at two different values of a quarter meets once: the larger
-    value asks at the smaller. In a shard that is large, both sides go on by the
-    values of another quarter, of which one must be near as well.
+    value asks at the smaller. A shard that is large is cut without loss of a pair: if
+    linked fingerprints are always near in two quarters, both sides go on by the values
+    of another quarter. Else both sides are dealt to as many parts as ``large`` says, and
+    go to a block for each two parts.
     """
     starts, targets = neighbours
+    hot_keys = np.array(sorted(large), np.int64)
+    hot_parts = np.array([large[k] for k in sorted(large)], np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
         vertices, raw = batch.column(0), batch.column(1)
         prints = _matrix(raw.to_pylist())
         quarters = QUARTERS * prints.shape[1]
+        # Each quarter that is not near takes two of the differing bits.
+        second_near = quarters - bits // 2 >= 2
+        dealt_by = _mixed(np.asarray(vertices, np.int64)) if large else None
         for q in range(quarters):
             values = _quarter(prints, q).astype(np.int64)
             n = starts[values + 1] - starts[values]
@@ -172,9 +199,11 @@ def _deal(batches: Iterator[pa.RecordBatch], large: frozenset[int], neighbours)
             keep = leaf <= values[at]
             at, leaf = at[keep], leaf[keep]
             key, asks = q * VALUES + leaf, leaf != values[at]
-            hot = np.isin(key, list(large)) if large else np.zeros(len(key), bool)
+            hot = np.isin(key, hot_keys) if large else np.zeros(len(key), bool)
             rows = [(key[~hot], asks[~hot], at[~hot])]
-            for other in range(quarters) if hot.any() else ():
+            if hot.any() and not second_near:
+                rows += _blocks(key[hot], asks[hot], at[hot], dealt_by, hot_keys, hot_parts)
+            for other in range(quarters) if hot.any() and second_near else ():
                 if other != q:
                     again = _quarter(prints[at[hot]], other)
                     beside, near = visits(again)
@@ -268,7 +297,8 @@ def links(prints: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
     ``prints`` has a row for each distinct fingerprint: ``vertex`` (long) and
     ``print`` (bytes). Fingerprints of 64 bits at 4 or fewer differing bits are all
     joined by a path of the links given, and only those. A shard gives at most one
-    link for each of its fingerprints, whatever the number of pairs.
+    link for each of its fingerprints, whatever the number of pairs. Longer ones link
+    if they are within one bit in a quarter; ``large`` changes no link.
 
     How many fingerprints each of the 65,536 values of a quarter has is counted first;
     these counts, bounded by that number, are all that comes to the driver.
@@ -284,17 +314,18 @@ def links(prints: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
         .where(F.col("count") > large)
     )
     # Quarters are numbered from the lowest in each word, hex digits from the highest.
-    hot = frozenset(
-        (int(r["i"]) // QUARTERS * QUARTERS + QUARTERS - 1 - int(r["i"]) % QUARTERS) * VALUES + int(r["v"], 16)
+    hot = {
+        (int(r["i"]) // QUARTERS * QUARTERS + QUARTERS - 1 - int(r["i"]) % QUARTERS) * VALUES
+        + int(r["v"], 16): -(-r["count"] // large)
         for r in counts.collect()
-    )
+    }
     at, leaf = visits(np.arange(VALUES, dtype=np.uint16))
     order = np.lexsort((leaf, at))
     starts = np.searchsorted(at[order], np.arange(VALUES + 1))
     shared = spark.sparkContext.broadcast((starts, leaf[order]))
     bounded_batches(spark)
     dealt = prints.select("vertex", "print").mapInArrow(
-        lambda batches: _deal(batches, hot, shared.value),
+        lambda batches: _deal(batches, hot, shared.value, bits),
         "shard long, asks boolean, vertex long, print binary",
     )
     found = (
