@@ -17,6 +17,7 @@ from quernwork.llm import (
     q08_token_counts,
     q09_simhash,
     q10_mixing,
+    q11_trie,
 )
 from quernwork.sources import Tables
 
@@ -31,8 +32,10 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "op8_token_counts": q08_token_counts.run,
     "op9_simhash": q09_simhash.run,
     "op10_mixing": q10_mixing.run,
+    "op11_prefix_trie": q11_trie.run,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_topk": q02_topk.SQL,
     "op10_mixing": q10_mixing.SQL,
+    "op11_prefix_trie": q11_trie.SQL,
 }
