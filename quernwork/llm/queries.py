@@ -18,6 +18,7 @@ from quernwork.llm import (
     q09_simhash,
     q10_mixing,
     q11_trie,
+    q13_negatives,
 )
 from quernwork.sources import Tables
 
@@ -33,9 +34,11 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "op9_simhash": q09_simhash.run,
     "op10_mixing": q10_mixing.run,
     "op11_prefix_trie": q11_trie.run,
+    "op13_hard_negatives": q13_negatives.run,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_topk": q02_topk.SQL,
     "op10_mixing": q10_mixing.SQL,
     "op11_prefix_trie": q11_trie.SQL,
+    "op13_hard_negatives": q13_negatives.SQL,
 }
