@@ -18,6 +18,7 @@ from quernwork.llm import (
     q09_simhash,
     q10_mixing,
     q11_trie,
+    q12_main_text,
     q13_negatives,
 )
 from quernwork.sources import Tables
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "op9_simhash": q09_simhash.run,
     "op10_mixing": q10_mixing.run,
     "op11_prefix_trie": q11_trie.run,
+    "op12_main_text": q12_main_text.run,
     "op13_hard_negatives": q13_negatives.run,
 }
 ORACLES: dict[str, str] = {
