@@ -105,13 +105,16 @@ def labelled(pages: list[str]) -> list[Tree]:
 def learned(pages: DataFrame, html: str, most: int = LABELLED, chars: int = LABELLED_CHARS) -> Model:
     """A model of at most ``most`` pages of the table, each of at most ``chars`` characters.
 
-    They are chosen by a hash of their text, so the choice does not hang on order. Pages
-    that do not label themselves, null and longer ones are not learned from; with none at
-    all the pages put together in the library remain.
+    They are chosen by a hash of their text, so the choice does not hang on order, and copies
+    count once. Pages that do not label themselves, null and longer ones are not learned
+    from; with none at all the pages put together in the library remain. The hashes are
+    chosen first, so no more than ``most`` pages are sent anywhere.
     """
-    short = pages.select(F.col(html).alias("page")).where(F.length("page") <= chars)
-    chosen = short.select("page", F.xxhash64("page").alias("by")).distinct().orderBy("by", "page").limit(most)
-    return fit(labelled([r["page"] for r in chosen.collect()]))
+    short = pages.select(F.col(html).alias("page"), F.xxhash64(html).alias("by")).where(F.length("page") <= chars)
+    hashes = [r["by"] for r in short.select("by").distinct().orderBy("by").limit(most).collect()]
+    chosen = short.where(F.col("by").isin(hashes)).groupBy("by").agg(F.min("page").alias("page"))
+    found = sorted((r["by"], r["page"]) for r in chosen.collect())
+    return fit(labelled([page for _, page in found]))
 
 
 def texts_of(pages: list[str], model: Model) -> list[str]:
