@@ -7,6 +7,9 @@ quarter has only 65,536 values, so one vantage-point tree over these values serv
 number of fingerprints: its leaves are the shards. A fingerprint lives in the leaf of
 its own value, and asks at all leaves that the bounds of the tree cannot rule out
 within one bit. Whatever meets in a shard is compared exactly, over all 64 bits.
+
+This goes in two turns. In the first no fingerprint asks at another leaf; what it joins
+is one vertex in the second, so that a large group of near copies gives few links.
 """
 
 from __future__ import annotations
@@ -225,22 +228,26 @@ def _near(one: np.ndarray, others: np.ndarray, bits: int) -> np.ndarray:
     return away <= bits
 
 
-def _spread(prints: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Links between rows that hold together whatever links hold together.
+def _spread(prints: np.ndarray, bits: int, groups: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between groups that hold together all groups with rows that link.
 
-    At most one for each row: from one to all that are near and not yet reached, and
+    At most one for each group: from one to all that are near and not yet reached, and
     on from those.
     """
     left = np.arange(len(prints))
     while len(left):
-        reached, left = [int(left[0])], left[1:]
+        first = groups[left[0]]
+        own = groups[left] == first
+        reached, left = left[own].tolist(), left[~own]
         while reached and len(left):
             at = reached.pop()
             near = _near(prints[at : at + 1], prints[left], bits)[0]
             if near.any():
-                yield at, left[near]
-                reached += left[near].tolist()
-                left = left[~near]
+                met = np.unique(groups[left[near]])
+                yield from ((int(first), int(other)) for other in met)
+                joined = np.isin(groups[left], met)
+                reached += left[joined].tolist()
+                left = left[~joined]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -249,22 +256,20 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 
     def links() -> None:
         every = home + asking
+        groups = np.array([v for v, _ in every], np.int64)
         prints = _matrix([p for _, p in every])
         here = prints[: len(home)]
         linked = np.zeros(len(every), bool)
         for i in range(0, len(every), BLOCK):
             near = _near(prints[i : i + BLOCK], here, bits)
-            # Those that live here meet themselves.
-            own = np.arange(i, min(i + BLOCK, len(home)))
-            near[own - i, own] = False
             if near.any():
+                # What is one vertex already needs no link; so those here don't meet themselves.
+                near &= groups[i : i + BLOCK, None] != groups[: len(home)]
                 linked[i : i + BLOCK] |= near.any(axis=1)
                 linked[: len(home)] |= near.any(axis=0)
         rows = np.flatnonzero(linked)
         if len(rows):
-            for at, hits in _spread(prints[rows], bits):
-                one = every[rows[at]][0]
-                out.extend((one, every[i][0]) for i in rows[hits].tolist())
+            out.extend(_spread(prints[rows], bits, groups[rows]))
 
     def block() -> pa.RecordBatch:
         arrays = [pa.array(side, pa.int64()) for side in zip(*out)]
@@ -291,14 +296,16 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         yield block()
 
 
-def links(prints: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
+def links(prints: DataFrame, bits: int = BITS, large: int = LARGE, *, reach: int = 1) -> DataFrame:
     """Links ``a`` - ``b`` of vertices that hold together all fingerprints that link.
 
     ``prints`` has a row for each distinct fingerprint: ``vertex`` (long) and
-    ``print`` (bytes). Fingerprints of 64 bits at 4 or fewer differing bits are all
-    joined by a path of the links given, and only those. A shard gives at most one
-    link for each of its fingerprints, whatever the number of pairs. Longer ones link
-    if they are within one bit in a quarter; ``large`` changes no link.
+    ``print`` (bytes); fingerprints that are known to hold together may have one vertex.
+    Fingerprints of 64 bits at 4 or fewer differing bits are all joined by a path of
+    the links given, and only those. A shard gives at most one link for each of its
+    vertices, whatever the number of pairs. Longer ones link if they are within one bit
+    in a quarter; ``large`` changes no link. With a ``reach`` of 0 only fingerprints that
+    have a quarter in common link.
 
     How many fingerprints each of the 65,536 values of a quarter has is counted first;
     these counts, bounded by that number, are all that comes to the driver.
@@ -319,7 +326,7 @@ def links(prints: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
         + int(r["v"], 16): -(-r["count"] // large)
         for r in counts.collect()
     }
-    at, leaf = visits(np.arange(VALUES, dtype=np.uint16))
+    at, leaf = visits(np.arange(VALUES, dtype=np.uint16), reach)
     order = np.lexsort((leaf, at))
     starts = np.searchsorted(at[order], np.arange(VALUES + 1))
     shared = spark.sparkContext.broadcast((starts, leaf[order]))
@@ -365,14 +372,29 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.selectExpr("u AS vertex", "v AS root").unionByName(roots)
 
 
+def joined(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """The ``root`` of each ``vertex`` that is linked to another.
+
+    ``prints`` is as for ``links``, a vertex for each fingerprint. What has a quarter in
+    common is joined first and is one vertex when neighbouring leaves are asked. An empty
+    table gives no rows.
+    """
+    first = durable(components(links(prints, bits, reach=0)))
+    known = prints.join(first, "vertex", "left").withColumn("group", F.coalesce("root", "vertex"))
+    again = durable(components(links(known.select(F.col("group").alias("vertex"), "print"), bits)))
+    again = again.select(F.col("vertex").alias("group"), F.col("root").alias("over"))
+    found = known.join(again, "group", "left").where("root IS NOT NULL OR over IS NOT NULL")
+    return found.select("vertex", F.coalesce("over", "group").alias("root"))
+
+
 def classes(rows: DataFrame, id_: str, column: str, bits: int = BITS) -> DataFrame:
     """Every row with its ``component_id``: the smallest id it is linked to.
 
     ``rows`` has an id and a fingerprint (bytes) and should be a written table, as it
     is read twice. Copies meet once, as one fingerprint. A fingerprint may have any
     share of the rows: the last join leaves the splitting of such keys to Spark. Null
-    ids get a class, but name none unless all of it are null. Also adds ``root``, a
-    number that stands for the class.
+    ids get a class, but name none unless all of it are null. Other columns are kept; one
+    that is called ``component_id`` is replaced. An empty table stays empty.
     """
     # A fingerprint of 8 bytes is a number itself, a longer one has a hash.
     number = F.conv(F.hex(column), 16, -10).cast("long")
@@ -382,10 +404,10 @@ def classes(rows: DataFrame, id_: str, column: str, bits: int = BITS) -> DataFra
         .agg(F.min(id_).alias("least"))
         .select("least", F.col(column).alias("print"), vertex.alias("vertex"))
     )
-    roots = durable(components(links(owners, bits)))
+    roots = durable(joined(owners.select("vertex", "print"), bits))
     named = owners.join(roots, "vertex", "left").select(
         "print", "least", F.coalesce("root", "vertex").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(smallest, "root").select(F.col("print").alias(column), "component_id", "root")
-    return rows.join(names, column)
+    names = named.join(smallest, "root").select(F.col("print").alias(column), "component_id")
+    return rows.drop("component_id").join(names, column)

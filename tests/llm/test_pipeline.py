@@ -12,8 +12,8 @@ import corpus_pipeline as pipeline
 from quernwork.llm.bpe import read_ranks
 from quernwork.llm.common import stored
 from quernwork.llm.mixing import words
-from quernwork.llm.simhash import simhash
 from quernwork.sources import Tables
+from tests.llm.test_near_copies import kept_by_brute_force
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -47,20 +47,8 @@ def test_quality_keeps_good_documents(spark, stages):
 
 def test_near_copies_leave_one(stages):
     before, after = rows(stages[1]), rows(stages[2])
-    prints = np.array([np.frombuffer(simhash(r["text"], 5, 2), ">u8").astype(np.uint64) for r in before])
-    root = list(range(len(before)))
-
-    def find(i):
-        return i if root[i] == i else find(root[i])
-
-    for i in range(len(before)):
-        for j in range(i):
-            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 24:
-                root[find(i)] = find(j)
-    groups = collections.defaultdict(list)
-    for i, row in enumerate(before):
-        groups[find(i)].append(row["doc_id"])
-    assert sorted(r["doc_id"] for r in after) == sorted(map(min, groups.values()))
+    kept = kept_by_brute_force([(r["doc_id"], r["text"]) for r in before])
+    assert sorted(r["doc_id"] for r in after) == kept
 
 
 def test_repeats_go(stages):
