@@ -66,7 +66,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.xxhash64("text")
     rows = docs.select("doc_id", digest.alias("digest"), sketch(F.col("text"), SHINGLE, PRINT_WORDS).alias("s"))
     rows = stored(rows.select("doc_id", "digest", "s.*"), "prints")
-    roots = proved_roots(rows, docs.select(digest.alias("digest"), "text"), SHINGLE, PRINT_BITS)
+    roots = proved_roots(rows, docs.select("doc_id", digest.alias("digest"), "text"), SHINGLE, PRINT_BITS)
     grouped = rows.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     chosen = (
