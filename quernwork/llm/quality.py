@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -19,9 +20,12 @@ from quernwork.llm.common import bounded_batches
 # Labelled rows that are fitted on and broadcast, at most: with DIMENSIONS and BUCKETS
 # this bounds the broadcast to some 1 MB and what the driver holds to some 150 MB.
 LABELLED = 4096
-# Hashed word forms, and dimensions of the latent space.
+# Buckets of words and of runs of so many characters, and dimensions of the latent space.
 BUCKETS = 2048
+GRAM = 3
 DIMENSIONS = 32
+# Words whose buckets a worker remembers.
+WORDS = 200_000
 # Neighbours that vote, each with its cosine to this power.
 NEIGHBOURS = 8
 POWER = 4
@@ -34,19 +38,14 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class _Forms(dict):
-    """Buckets of word forms: the kind of the first character, and the last two."""
-
-    def __missing__(self, ends: str) -> int:
-        first = ends[0]
-        if first.isupper():
-            kind = "A"
-        elif first.islower():
-            kind = "a"
-        else:
-            kind = "0" if first.isdigit() else "."
-        if len(self) > 500_000:
+    """Buckets of a word: one of the word, and one of each three characters in a row of it."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > WORDS:
             self.clear()
-        found = self[ends] = zlib.crc32(f"{kind}{ends[1:]}".encode()) % BUCKETS
+        edged = f" {word} "
+        parts = [f"={word}", *(edged[i : i + GRAM] for i in range(len(edged) + 1 - GRAM))]
+        found = self[word] = tuple(zlib.crc32(p.encode()) % BUCKETS for p in parts)
         return found
 
 
@@ -54,11 +53,11 @@ _forms = _Forms()
 
 
 def features(text: str) -> np.ndarray:
-    """Counts of the forms of all words, then the share of words like the one before."""
+    """Counts of all words and their characters, then the share of words like the one before."""
     words = _WORD.findall(text)
     out = np.zeros(BUCKETS + 1, np.float32)
     if words:
-        found = [_forms[w[0] + w[-2:]] for w in words]
+        found = np.fromiter(chain.from_iterable(map(_forms.__getitem__, words)), np.int64)
         out[:BUCKETS] = np.bincount(found, minlength=BUCKETS)
         out[BUCKETS] = sum(map(eq, words, words[1:])) / len(words)
     return out
@@ -84,7 +83,7 @@ class Model:
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """The share of label 1 in the weights of the nearest labelled vectors.
 
-        Where nothing is near, as for a text without words, the share among all
+        What is as near as the last of these votes too. Where nothing is near, as for a text without words, the share among all
         labelled rows; 0.5 if there are none.
         """
         n = len(self.labels)
@@ -92,10 +91,11 @@ class Model:
             return np.full(len(counts), 0.5)
         k = min(NEIGHBOURS, n)
         cosines = self.latent(counts) @ self.vectors.T
-        nearest = np.argpartition(cosines, n - k, axis=1)[:, n - k :]
-        weights = np.maximum(np.take_along_axis(cosines, nearest, 1), 0).astype(float) ** POWER
-        total = weights.sum(axis=1)
-        votes = (weights * self.labels[nearest]).sum(axis=1)
+        least = np.partition(cosines, n - k, axis=1)[:, n - k, None]
+        row, nearest = np.nonzero(cosines >= least)
+        weights = np.maximum(cosines[row, nearest], 0).astype(float) ** POWER
+        total = np.bincount(row, weights, len(counts))
+        votes = np.bincount(row, weights * self.labels[nearest], len(counts))
         prior = float(self.labels.mean())
         return np.where(total > 1e-9, votes / np.maximum(total, 1e-9), prior)
 
@@ -126,12 +126,17 @@ def fit(
 ) -> Model:
     """A model of at most ``most`` labelled texts, chosen by a hash of their ids.
 
-    Null ids, null texts and null labels take no part. If an id has several texts or
-    labels, each pair counts, still at most ``most`` in all.
+    Null ids, null texts and null labels take no part, nor do labels without a text. If an
+    id has several texts or labels, each different pair counts once, still at most ``most``
+    in all. Order and copies of rows change nothing.
     """
+    texts = documents.where(F.col(text).isNotNull() & F.col(id_).isNotNull())
+    texts = texts.select(F.col(id_).alias("id"), F.col(text).alias("text"))
     chosen = (
         labels.where(F.col(id_).isNotNull() & F.col(label).isNotNull())
         .select(F.col(id_).alias("id"), F.col(label).cast("int").alias("label"))
+        .distinct()
+        .join(texts.select("id").distinct(), "id", "left_semi")
         .orderBy(F.xxhash64("id"), "id", "label")
         .limit(most)
     )
@@ -142,13 +147,13 @@ def fit(
         found = (features(t).astype(np.float32) for t in texts.to_pylist())
         return pa.array([zlib.compress(f.tobytes(), 1) for f in found], pa.binary())
 
-    texts = documents.where(F.col(text).isNotNull())
-    texts = texts.select(F.col(id_).alias("id"), F.col(text).alias("text"))
-    # The labelled ids are at most ``most``, so they may be broadcast.
-    pairs = texts.join(F.broadcast(chosen), "id").limit(2 * most)
-    found = pairs.select("id", "label", counted("text").alias("counts")).collect()
-    found = sorted((r["id"], r["label"], bytes(r["counts"])) for r in found)[:most]
-    return fit_features((np.frombuffer(zlib.decompress(c), np.float32), y) for _, y, c in found)
+    # The labelled ids are at most ``most``, so they may be broadcast. Copies are one row
+    # before the order is taken.
+    pairs = texts.join(F.broadcast(chosen), "id").groupBy("id", "label", F.xxhash64("text").alias("mark"))
+    first = pairs.agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id", "label", "mark").limit(most)
+    found = first.select("id", "label", "mark", counted("text").alias("counts")).collect()
+    found = sorted((r["id"], r["label"], r["mark"], bytes(r["counts"])) for r in found)
+    return fit_features((np.frombuffer(zlib.decompress(c), np.float32), y) for _, y, _, c in found)
 
 
 def score(documents: DataFrame, model: Model, text: str) -> Column:

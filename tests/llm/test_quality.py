@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 from quernwork.llm.q06_quality import fitted, run
-from quernwork.llm.quality import NEIGHBOURS, POWER, features, fit_features
+from quernwork.llm.quality import NEIGHBOURS, POWER, features, fit, fit_features
 from quernwork.sources import Tables
 
 
@@ -35,6 +35,41 @@ def test_votes_are_the_nearest(spark):
         assert abs(found - sum(w * y for w, (_, y) in zip(weights, best)) / sum(weights)) < 1e-3
 
 
+def test_projection_is_the_strongest_directions():
+    """The latent space against numpy's own singular vectors."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words[40 * (i % 10) : 40 * (i % 10) + 60], 80)) for i in range(300)]
+    counts = np.stack([features(t) for t in texts])
+    model = fit_features((c, i % 2) for i, c in enumerate(counts))
+    forms = np.log1p(counts[:, :-1]) * model.weights
+    forms /= np.linalg.norm(forms, axis=1, keepdims=True) + 1e-9
+    rows = np.hstack([forms, np.sqrt(counts[:, -1:])])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9
+    strongest = np.linalg.svd(rows, full_matrices=False)[1][: model.basis.shape[1]]
+    kept = np.linalg.norm(rows @ model.basis)
+    assert np.allclose(model.basis.T @ model.basis, np.eye(model.basis.shape[1]), atol=1e-3)
+    assert kept >= 0.99 * np.sqrt((strongest**2).sum())
+
+
+def test_votes_that_tie_all_count():
+    counts = np.stack([features("same text here")] * 20 + [features("another one")] * 5)
+    model = fit_features((c, int(i < 10)) for i, c in enumerate(counts))
+    assert abs(model.scores(counts[:1])[0] - 0.5) < 1e-6
+
+
+def test_the_sample_does_not_hang_on_order_or_copies(spark):
+    texts = [(i % 40, f"text {i % 40} of {i % 40 % 7}") for i in range(400)] + [(7, "other"), (50, None)]
+    marks = [(i, i % 2) for i in range(60)] * 3 + [(None, 1), (3, None)]
+    found = []
+    for n in (1, 5):
+        documents = spark.createDataFrame(texts[::n] + texts, "doc_id long, text string").repartition(n)
+        labels = spark.createDataFrame(marks[::-1], "doc_id long, quality int").repartition(n)
+        found.append(fit(documents, labels, "doc_id", "text", "quality", 16))
+    assert len(found[0].labels) == 16
+    assert (found[0].labels == found[1].labels).all() and np.allclose(found[0].vectors, found[1].vectors, atol=1e-4)
+
+
 def test_without_labels():
     model = fit_features([])
     assert model.scores(np.stack([features("a b"), features("")])).tolist() == [0.5, 0.5]
