@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from quernwork.llm.common import bounded_batches, partitions
 
-# Queries that one task compares with its candidates, and candidates in one product.
+# Queries that one task compares with its candidates, how many these are on average, and
+# candidates in one product.
 QUERIES = 4096
+SLOT = 8192
 CANDIDATES = 1024
 # Rotated dimensions whose products are summed before the bound on the rest is taken.
 LEADING = 16
@@ -208,7 +210,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5) -> Da
 
     Work grows with queries times candidates, as an exact search of vectors of
     equal length must; memory does not: a task holds ``QUERIES`` queries and
-    ``CANDIDATES`` candidates.
+    ``CANDIDATES`` candidates, and reads some ``SLOT`` candidates for each slot.
 
     A candidate with the query's own id is left out. Rows of one id count each as
     a row of its own, on both sides: a repeated query has each rank once per row.
@@ -222,7 +224,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 5) -> Da
     n_queries, dims_too = queries.agg(F.count("*"), F.max(F.length("vector"))).first()
     basis = rotation(vectors, n)
     blocks = max(1, -(-n_queries // QUERIES))
-    slots = max(1, -(-4 * partitions(spark) // blocks))
+    slots = max(1, -(-n // SLOT))
     asked = queries.select(
         F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),

@@ -57,3 +57,22 @@ def test_odd_rows(spark):
     assert found(spark, rows, 3) == brute(rows, 3)
     assert found(spark, rows[:1], 3) == []
     assert found(spark, [], 3) == []
+
+
+def test_slots_follow_the_candidates(spark, monkeypatch):
+    """What tasks give on grows with queries and candidates, not with partitions."""
+    monkeypatch.setattr(topk, "SLOT", 100)
+    rows = [(i, [float(i % 17), float(i % 5)]) for i in range(950)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = whole_vectors(df, "vec_id", "embedding")
+    seen, search = [], topk._search
+
+    def kept(batches, **known):
+        for batch in search(batches, **known):
+            yield batch
+
+    monkeypatch.setattr(topk, "partitions", lambda spark: seen.append(1) or 64)
+    found = top_inner_products(vectors, vectors.where("id % 50 = 0"))
+    # 19 queries, 10 slots of some 95 candidates, 5 rows each; then 5 of each query.
+    assert found.count() == 19 * 5
+    assert len(seen) == 1
