@@ -22,6 +22,8 @@ from quernwork.llm.common import bounded_batches, partitions
 # Minimum hashes in a signature; a likeness is a multiple of one part in this many.
 HASHES = 128
 # Phrases hashed at a time: a block of 2 MB.
+# Characters of a text that tell places in the order apart.
+HEAD = 64
 BLOCK = 4096
 
 _random = np.random.default_rng(20)
@@ -102,9 +104,11 @@ def compare_neighbours(rows: DataFrame, id_: str, text: str) -> DataFrame:
     the first. In the edited copy the last half of the characters, rounded down,
     gives way to as many, or all there are, of the first of the next text.
 
-    Ids are cut into ranges at ids of the table, which the driver holds: it picks one for
-    each of four times the shuffle partitions, out of a sample of 64 times as many. The first row of each range is known so,
-    and goes to the range before as well; texts are shuffled once. A task holds two
+    The order is cut into ranges at rows of the table, each told by its id and the first
+    ``HEAD`` characters of its text, so that rows of one id, or without one, lie in many
+    ranges. The driver holds one such place for each of four times the shuffle partitions,
+    out of a sample of some 16 times as many different ones. The first row of each range is
+    known so, and goes to the range before as well; texts are shuffled once. A task holds two
     texts. Null texts are empty. A single row is its own next.
 
     Gives ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
@@ -117,28 +121,41 @@ def compare_neighbours(rows: DataFrame, id_: str, text: str) -> DataFrame:
         F.col(id_).cast("long").alias("id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    found = plain.agg(
-        F.count("id").alias("n"),
-        F.max("id").alias("most"),
-        F.count_if(F.col("id").isNull()).alias("nulls"),
-    ).first()
-    # Some 64 ids a range, by a hash; each range begins with one of them.
-    share = F.lit(max(1, found["n"] // (64 * n)))
-    sample = plain.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), share) == 0))
-    ids = sorted(r["id"] for r in sample.select("id").collect())
-    # Ranges from the largest id down; range i begins with the id starts[i]. Null, if
-    # there, is the last.
-    starts = sorted({*ids[:: -(-len(ids) // n) or 1], *([found["most"]] if found["n"] else [])})
-    last = len(starts) - (0 if found["nulls"] else 1)
-    ascending = F.array(*[F.lit(s).cast("long") for s in starts])
-    # How many starts are at or above the id, so the range whose start is next above.
-    above = F.size(F.filter(ascending, lambda s: s >= F.col("id"))) - 1
-    part = F.when(F.col("id").isNull(), F.lit(last)).otherwise(above)
-    first = F.col("id").isNull() | F.array_contains(ascending, F.col("id"))
-    before = F.when(F.col("part") == 0, F.lit(last)).otherwise(F.col("part") - 1)
-    placed = plain.withColumn("part", part)
-    home = placed.withColumn("guest", F.lit(False))
-    guests = placed.where(first).withColumn("part", before).withColumn("guest", F.lit(True))
+    # Places in the order: rows without an id last, larger ids first, then texts.
+    place = F.struct(
+        F.col("id").isNull().alias("none"),
+        F.coalesce(F.bitwise_not("id"), F.lit(0).cast("long")).alias("down"),
+        F.substring("text", 1, HEAD).alias("head"),
+    )
+    placed = plain.withColumn("place", place)
+    found = placed.agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least")).first()
+    # Each range begins with one of these, chosen by a hash.
+    share = F.lit(max(1, found["n"] // (16 * n)))
+    sample = placed.where(F.pmod(F.xxhash64("id", "text"), share) == 0).select("place").distinct()
+    places = sorted(tuple(r["place"]) for r in sample.collect())
+    least = [tuple(found["least"])] if found["n"] else []
+    starts = sorted({*places[:: -(-len(places) // n) or 1], *least}) or [(True, 0, "")]
+    step = max(1, int(len(starts) ** 0.5))
+
+    def listed(some: list[tuple]) -> Column:
+        fields = [(F.lit(a), F.lit(b).cast("long"), F.lit(c)) for a, b, c in some]
+        return F.array(*[F.struct(a.alias("none"), b.alias("down"), c.alias("head")) for a, b, c in fields])
+
+    def up_to(array: Column) -> Column:
+        """How many starts are at or before the row's place."""
+        return F.size(F.filter(array, lambda s: s <= F.col("place")))
+
+    # First in steps, then within one.
+    coarse = (up_to(listed(starts[::step])) - 1) * step
+    placed = placed.withColumn("coarse", coarse)
+    part = F.col("coarse") + up_to(F.slice(listed(starts), F.col("coarse") + 1, step)) - 1
+    placed = placed.withColumn("part", part)
+    placed = placed.withColumn("first", F.get(listed(starts), F.col("part")) == F.col("place"))
+    home = placed.select("id", "text", "part", F.lit(False).alias("guest"))
+    # Of rows at one start the first in order.
+    opening = placed.where("first").groupBy("part").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    before = F.when(F.col("part") == 0, F.lit(len(starts) - 1)).otherwise(F.col("part") - 1)
+    guests = opening.withColumn("part", before).withColumn("guest", F.lit(True))
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"

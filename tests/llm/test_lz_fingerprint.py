@@ -3,8 +3,9 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from quernwork.llm.lz_fingerprint import Phrases, fingerprint, likeness, signature
+from quernwork.llm.lz_fingerprint import Phrases, compare_neighbours, fingerprint, likeness, signature
 from quernwork.llm.q05_fingerprints import run
 from quernwork.sources import Tables
 
@@ -78,3 +79,12 @@ def test_odd_rows(spark, tmp_path, n):
     df = spark.createDataFrame(rows[:n], "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS guest")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, run(Tables(spark, str(tmp_path))).collect()), key=str) == expected(rows[:n])
+
+
+@pytest.mark.parametrize("id_", [7, None])
+def test_rows_of_one_id_lie_in_many_tasks(spark, id_):
+    rows = [(id_, f"text {i} of many") for i in range(600)] + [(i, "other") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = compare_neighbours(df, "doc_id", "text")
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 620 and max(sizes) < 300
