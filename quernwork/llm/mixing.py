@@ -11,9 +11,9 @@ from quernwork.llm.common import durable, free_name
 
 # What counts as a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-# Hash prefixes of this many hex digits cut each source into up to 16^3 ranges
-# of keys; no task sorts more than one range of one source.
-PREFIX_DIGITS = 3
+# Hash prefixes cut each source into ranges of keys, which have no more rows than this
+# on average; no task sorts more than one range of one source.
+RANGE_ROWS = 4096
 
 
 def words(text: Column) -> Column:
@@ -86,7 +86,7 @@ def mix(
     ``repeats`` times its size.
 
     The running sum is taken in two steps, over ranges of keys and within one
-    range, so no task holds a whole source. Only the totals of the ranges are
+    range, so no task holds a whole source. How many ranges hangs on how many rows. Only the totals of the ranges are
     written and joined back.
 
     Null sources are a source of their own. Rows of size 0 take nothing; if all
@@ -98,12 +98,16 @@ def mix(
     Adds ``source_size``, ``target`` and ``taken``.
     """
     names = rows.columns
+    digits = 1
+    count = rows.count()
+    while count > RANGE_ROWS * 16**digits:
+        digits += 1
     sk, prefix, start = (free_name(names, n) for n in ("source_key", "key_range", "range_start"))
     keyed = rows.withColumns(
         {
             # A join key without nulls, and never equal for different sources.
             sk: F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-")),
-            prefix: F.substring(key, 1, PREFIX_DIGITS),
+            prefix: F.substring(key, 1, digits),
         }
     )
     ranges = durable(

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quernwork.llm import mixing as module
 from quernwork.llm.mixing import mix, random_key
 from quernwork.llm.q10_mixing import SQL, run
 from quernwork.sources import Tables
@@ -89,3 +90,10 @@ def test_keys_tell_nulls_from_empty_texts(spark):
 def test_columns_called_as_the_helpers(spark):
     df = spark.createDataFrame([("s", 4, "0a", 1, 2)], "source string, size long, key string, source_key int, range_start int")
     assert mix(df, "source", "size", "key").select("source_key", "range_start", "taken").first() == (1, 2, 6)
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(module, "RANGE_ROWS", 5)
+    df = spark.range(400).selectExpr("id", "'s' AS source", "1L AS size", "md5(cast(id AS string)) AS key")
+    found = mix(df, "source", "size", "key").agg({"taken": "sum"}).first()[0]
+    assert found == 600
