@@ -39,7 +39,7 @@ SAMPLED = 2000
 # Words whose hashes a worker remembers.
 REMEMBERED = 250_000
 
-_WORD_BYTES, _NEXT_BYTES = 6, 5
+_WORD_BYTES, _NEXT_BYTES = 6, 6
 
 
 class _Hashes(dict):
@@ -78,7 +78,7 @@ def pack(**arrays: np.ndarray | bytes) -> bytes:
     for data in arrays.values():
         if not isinstance(data, bytes):
             # Bytes of one weight together: small numbers leave long runs of zeros.
-            raw = np.ascontiguousarray(data, np.uint32).view(np.uint8).reshape(-1, 4)
+            raw = np.ascontiguousarray(data, np.int64).view(np.uint8).reshape(-1, 8)
             data = raw.T.tobytes()
         part = squeeze(data)
         parts += [len(part).to_bytes(8, "little"), part]
@@ -95,8 +95,8 @@ def unpack(data: bytes) -> list[bytes]:
 
 
 def _numbers(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(4, -1).T
-    return np.ascontiguousarray(raw).view(np.uint32).reshape(-1).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8).reshape(8, -1).T
+    return np.ascontiguousarray(raw).view(np.int64).reshape(-1)
 
 
 @dataclass(frozen=True)
