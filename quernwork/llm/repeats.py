@@ -32,6 +32,7 @@ from pyspark.sql.functions import arrow_udf
 from quernwork.llm.anchors import SPAN, WINDOW, runs
 from quernwork.llm.bwt import Shard, interleave
 from quernwork.llm.common import BATCH_ROWS, bounded_batches, durable, free_name, partitions
+from quernwork.operators.skew import broadcast_up_to, heavy_list
 
 # Bytes of runs that are merged at once, and of one shard; what a merge looks at then
 # stays in the cache of a core.
@@ -183,8 +184,8 @@ class _Beside:
             yield texts, data, items
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], large: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """The bytes of open runs; of a large anchor, each window as a run of its own."""
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of open runs; of a large anchor, below -1, each window as a run of its own."""
     names = [*_RUN, "data"]
     out: list[tuple] = []
 
@@ -197,7 +198,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], large: frozenset[int]) -> Iterator
     for texts, data, items in _Beside(3)(batches):
         for place, anchor in items:
             first, count = (place >> _FIRST) & 0xFFFFFFFF, place & (_SEVERAL - 1)
-            if anchor in large:
+            if anchor < -1:
                 for at in range(first, first + count):
                     window = data[at : at + WINDOW]
                     digest = xxhash.xxh64_intdigest(window) - 2**63
@@ -346,10 +347,7 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
     spread = F.when(F.col("anchor") == -1, F.col("digest")).otherwise(F.col("anchor"))
     met = scanned.withColumn("spread", spread).repartition(n, "spread").drop("spread")
     settled = durable(met.sortWithinPartitions(*_RUN).mapInArrow(_settle, run_schema))
-    large = frozenset(
-        r["anchor"]
-        for r in settled.where("anchor >= 0").groupBy("anchor").count().where(F.col("count") > LARGE).collect()
-    )
+    large, n_large = heavy_list(settled.where("anchor >= 0"), ["anchor"], LARGE)
     pack = _packed()
 
     def beside(items: DataFrame, carried: list[str]) -> DataFrame:
@@ -388,15 +386,17 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
 
     covered = settled.where("anchor < 0").select("doc", "mark", "place", "anchor")
     opened = settled.where("anchor >= 0")
-    fetched = beside(opened, []).mapInArrow(
-        lambda b: _fetch(b, large), f"{run_schema}, data binary"
-    )
-    if large:
+    if n_large:
+        marked = broadcast_up_to(large.withColumn("large", F.lit(True)), n_large)
+        turned = F.when(F.col("large"), -2 - F.col("anchor")).otherwise(F.col("anchor"))
+        opened = opened.join(marked, "anchor", "left").withColumn("anchor", turned)
+    fetched = beside(opened, []).mapInArrow(_fetch, f"{run_schema}, data binary")
+    if n_large:
         fetched = durable(fetched)
     met = fetched.where("data IS NOT NULL").select("anchor", "doc", "mark", "place", "data")
     met = met.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "mark", "place")
     merged = met.mapInArrow(_merge, "doc long, mark long, place long")
-    if large:
+    if n_large:
         # Windows that meet by their own digest: equal ones are runs of one kind.
         windows = fetched.where("data IS NULL").drop("data").repartition(n, "anchor")
         found = windows.sortWithinPartitions(*_RUN).mapInArrow(_settle, run_schema)
