@@ -64,6 +64,38 @@ def total_units(name: str) -> Column:
     return high * F.lit(1 << LOW_BITS) + F.col(f"{name}_low").cast("decimal(20,0)")
 
 
+def distinct_about(name: str, value: Column | str, bits: int = 14) -> Measure:
+    """How many different values there are, to be read with ``distinct_estimate``.
+
+    A HyperLogLog sketch of 2**``bits`` registers, some 12 KB for 14, whatever is counted.
+    The standard error is 1.04 / sqrt(2**bits), 0.8% for 14. Nulls are no value; no
+    values count as 0. It may differ a little between runs, with the order of merges.
+    """
+    return Measure({name: Part(F.hll_sketch_agg(value, F.lit(bits)), F.hll_union_agg)})
+
+
+def distinct_estimate(name: str) -> Column:
+    """The value of the measure ``distinct_about``, a long."""
+    return F.hll_sketch_estimate(name)
+
+
+def quantiles_about(name: str, value: Column | str, k: int = 800) -> Measure:
+    """Where values lie in order, to be read with ``quantile_estimate``.
+
+    A KLL sketch of doubles, some 10 KB for a ``k`` of 800. The rank of what it gives is off
+    by less than 0.4% of all values with 99% likelihood; it may differ between runs.
+    Nulls are no value; without values the estimate is null.
+    """
+    partial = F.kll_sketch_agg_double(F.col(value) if isinstance(value, str) else value, k)
+    return Measure({name: Part(partial, F.kll_merge_agg_double)})
+
+
+def quantile_estimate(name: str, share: float) -> Column:
+    """A value that about ``share`` of the values of ``quantiles_about`` do not exceed."""
+    some = F.kll_sketch_get_n_double(name) > 0
+    return F.when(some, F.kll_sketch_get_quantile_double(F.col(name), F.lit(float(share))))
+
+
 def columns(measures: Iterable[Measure]) -> list[str]:
     return [name for m in measures for name in m.parts]
 

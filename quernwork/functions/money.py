@@ -18,10 +18,10 @@ from quernwork.functions.measures import total_units
 def cents(amount: str) -> Column:
     """Hundredths of an amount of two decimals; an amount of more is an error."""
     value, units = F.col(amount), F.rint(F.col(amount) * 100)
-    # The double nearest to the hundredths is the amount itself, if it has no more.
-    exact = value.isNull() | (units / 100 == value)
-    message = F.concat(F.lit(f"{amount} has more than two decimals: "), value.cast("string"))
-    return F.when(exact, units.cast("bigint")).otherwise(F.raise_error(message).cast("bigint"))
+    # The double nearest to the hundredths is the amount itself, if it has no more. What
+    # the error says is the same for all rows, which keeps the generated code short.
+    wrong = F.raise_error(F.lit(f"{amount} has more than two decimals")).cast("bigint")
+    return F.when(units / 100 == value, units.cast("bigint")).when(value.isNotNull(), wrong)
 
 
 def discounted(price: str, discount: str) -> Column:

@@ -2,6 +2,7 @@
 
 from quernwork.operators.asof import asof_join, asof_within
 from quernwork.operators.grouping import cube_sets, grouping_totals, rollup_sets
+from quernwork.operators.intervals import overlap_join
 from quernwork.operators.joins import having, lacking, roll_up
 from quernwork.operators.multisets import (
     except_all,
@@ -30,6 +31,7 @@ __all__ = [
     "intersect_all",
     "intersect_distinct",
     "lacking",
+    "overlap_join",
     "part_heavy",
     "roll_up",
     "rollup_sets",

@@ -83,7 +83,10 @@ def sessions(
     dated = df.where(F.col(time).isNotNull())
     rest, hot = part_heavy(dated, by, hot_rows)
     window = F.session_window(time, micros(gap)).alias("_session")
-    found = rest.groupBy(*by, window).agg(*partials(measures)).select(
+    # Spark joins up sessions only where it aggregates something. A filter on a count keeps
+    # that so when a later step, such as distinct, needs no measure.
+    grouped = rest.groupBy(*by, window).agg(F.count(F.lit(1)).alias("_rows"), *partials(measures))
+    found = grouped.where("_rows > 0").select(
         *by,
         F.col("_session.start").alias("session_start"),
         F.col("_session.end").alias("session_end"),

@@ -19,6 +19,7 @@ class Query:
 
 
 def registered() -> dict[str, Query]:
-    from quernwork.plans import customers, events, orders, pricing, streams
+    from quernwork.plans import customers, events, orders, pricing, spans, streams, summaries
 
-    return pricing.QUERIES | orders.QUERIES | customers.QUERIES | events.QUERIES | streams.QUERIES
+    modules = (pricing, orders, customers, events, streams, spans, summaries)
+    return {name: query for module in modules for name, query in module.QUERIES.items()}

@@ -76,6 +76,9 @@ EXCHANGES = {
     "events_sliding": 2,  # panes, windows
     "user_sessions": 1,
     "event_before_purchase": 1,
+    "overlapping_orders": 3,  # either side by bin, customers
+    "props_by_kind": 1,
+    "revenue_by_priority": 1,  # priorities; the tables lie in buckets
 }
 
 

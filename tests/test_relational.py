@@ -86,6 +86,15 @@ def test_a_large_top_k_ranks_pieces_first(spark, k):
     assert "_piece" in plan[first : first + 300]
 
 
+@pytest.mark.parametrize("k", [5, 101])
+def test_top_k_leaves_columns_of_any_name_alone(spark, k):
+    df = spark.range(9000).selectExpr("id % 2 AS g", "id AS _piece", "9000 - id AS `a.b`", "id AS __piece")
+    found = top_k(df, ["g"], [F.asc("_piece")], k)
+    assert found.columns == [*df.columns, "rank"]
+    want = [(g, 2 * n + g, 9000 - 2 * n - g, 2 * n + g, n + 1) for g in (0, 1) for n in range(k)]
+    assert sorted_rows(found) == want
+
+
 @pytest.mark.parametrize("k", [1, 3, 1000])
 def test_top_k(spark, k):
     rows = [r for r in events(2, 300) if r[1] is not None]

@@ -97,3 +97,12 @@ def test_tumbling_before_1970(spark):
     found = tumbling(frame(spark, rows), ["user"], "ts", timedelta(days=1), [count("n")])
     assert all(r["window_start"] < r["window_end"] and r["n"] == 1 for r in found.collect())
     assert found.count() == 2
+
+
+@pytest.mark.parametrize("hot_rows", [10**7, 0])
+def test_sessions_stay_whole_when_no_measure_is_used(spark, hot_rows):
+    df = frame(spark, events(4, 300))
+    found = sessions(df, ["user"], "ts", timedelta(seconds=60), [count("n")], hot_rows)
+    spans = found.select("user", "session_start", "session_end")
+    whole = len({tuple(r)[:3] for r in found.collect()})
+    assert spans.distinct().count() == whole == found.count() < 250
