@@ -25,7 +25,7 @@ BUCKETS = 2048
 GRAM = 3
 DIMENSIONS = 32
 # Words whose buckets a worker remembers.
-WORDS = 200_000
+WORDS = 50_000
 # Neighbours that vote, each with its cosine to this power.
 NEIGHBOURS = 8
 POWER = 4
@@ -45,10 +45,12 @@ class _Forms(dict):
             self.clear()
         edged = f" {word} "
         parts = [f"={word}", *(edged[i : i + GRAM] for i in range(len(edged) + 1 - GRAM))]
-        found = self[word] = tuple(zlib.crc32(p.encode()) % BUCKETS for p in parts)
+        # The same objects for equal numbers, which take no room of their own.
+        found = self[word] = tuple(_NUMBERS[zlib.crc32(p.encode()) % BUCKETS] for p in parts)
         return found
 
 
+_NUMBERS = list(range(BUCKETS))
 _forms = _Forms()
 
 
@@ -72,12 +74,19 @@ class Model:
     vectors: np.ndarray
     labels: np.ndarray
 
+    def weighted(self, counts: np.ndarray) -> np.ndarray:
+        """Weighted forms of unit length, and the root of the last column."""
+        rows = np.empty_like(counts)
+        forms = rows[:, :-1]
+        np.log1p(counts[:, :-1], out=forms)
+        forms *= self.weights
+        forms /= np.sqrt(np.einsum("ij,ij->i", forms, forms))[:, None] + np.float32(1e-9)
+        np.sqrt(counts[:, -1], out=rows[:, -1])
+        return rows
+
     def latent(self, counts: np.ndarray) -> np.ndarray:
         """Latent-semantic vectors of unit length; zero for a text without words."""
-        forms = np.log1p(counts[:, :-1]) * self.weights
-        forms /= np.linalg.norm(forms, axis=1, keepdims=True) + 1e-9
-        rows = np.hstack([forms, np.sqrt(counts[:, -1:])])
-        rows = rows @ self.basis
+        rows = self.weighted(counts) @ self.basis
         return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
@@ -107,11 +116,14 @@ def fit_features(rows: Iterable[tuple[np.ndarray, int]]) -> Model:
     if not pairs:
         none = np.zeros((BUCKETS + 1, DIMENSIONS), np.float32)
         return Model(np.ones(BUCKETS, np.float32), none, none[:0, :DIMENSIONS], labels)
-    counts = np.stack([c for c, _ in pairs])
+    counts = np.empty((len(pairs), BUCKETS + 1), np.float32)
+    for i, (row, _) in enumerate(pairs):
+        counts[i], pairs[i] = row, None
     share = (counts[:, :-1] > 0).mean(axis=0)
     weights = np.maximum(np.log(2 / (share + 1e-2)), 0).astype(np.float32)
-    start = Model(weights, np.eye(BUCKETS + 1, dtype=np.float32), counts[:0], labels)
-    rows_ = start.latent(counts)
+    start = Model(weights, np.zeros((0, 0), np.float32), counts[:0], labels)
+    rows_ = start.weighted(counts)
+    rows_ /= np.sqrt(np.einsum("ij,ij->i", rows_, rows_))[:, None] + np.float32(1e-9)
     # Right singular vectors of the sample: eigenvectors of its Gram matrix, found by
     # repeated products with a block that is kept orthogonal.
     basis = np.random.default_rng(6).normal(size=(BUCKETS + 1, DIMENSIONS)).astype(np.float32)
