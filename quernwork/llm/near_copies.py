@@ -28,12 +28,13 @@ from pyspark.sql.functions import arrow_udf
 
 from quernwork.llm.common import durable, partitions, stored
 from quernwork.llm.simhash import components, joined, majority, shingle_hashes
+from quernwork.operators.skew import broadcast_up_to
 
 # Texts link if 5 times the shingles they share are 4 times those of either, or more.
 SHARED, OF = 4, 5
 # Shingles, and a fixed number for each set, from which a family is cut, and which a part
-# has on average.
-PART, EACH = 1 << 18, 64
+# has on average; a block of two parts has some 16 MB of hashes.
+PART, EACH = 1 << 20, 64
 # Members of a group that meet other groups before all of them may.
 FIRST = 8
 # Sets of which a task remembers that it has given them.
@@ -171,10 +172,18 @@ def _meet(rows: DataFrame, by: list[str], run, schema: str) -> DataFrame:
     return met.sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
-def _parts(rows: DataFrame, of: str) -> DataFrame:
-    """How many parts the sets of each ``of`` are dealt to."""
+def _cut(rows: DataFrame, of: str, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """``rows`` with ``part`` and ``parts`` of their ``of``; those of several parts, and how many.
+
+    Only the names of what is cut are joined, so that a large one is not brought together
+    by its name before it is dealt out.
+    """
     size = F.sum(F.length("hashes") / 8 + EACH)
-    return rows.groupBy(of).agg(F.ceil(size / PART).cast("int").alias("parts"))
+    sizes = rows.groupBy(of).agg(F.ceil(size / PART).cast("int").alias("parts"))
+    large = durable(sizes.where("parts > 1"))
+    n = large.count()
+    known = rows.join(broadcast_up_to(large, n), of, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return known.withColumn("part", _in_part(F.col("parts"), seed)), large.select(of), n
 
 
 def _renamed(rows: DataFrame, links_: DataFrame) -> DataFrame:
@@ -226,24 +235,23 @@ def proved_roots(rows: DataFrame, docs: DataFrame, size: int, bits: int) -> Data
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("digest"))
     texts = docs.join(members, same).select("vertex", "family", "text")
     sets = stored(texts.mapInArrow(lambda b: _sets(b, size), "vertex long, family long, hashes binary"), "sets")
-    parts = _parts(sets, "family")
-    dealt = sets.join(parts, "family").withColumn("part", _in_part(F.col("parts")))
+    dealt, large, n_large = _cut(sets, "family", 0)
     dealt = dealt.withColumn("group", F.col("vertex"))
     schema = "vertex long, group long, place long, alone long"
     placed = durable(_meet(dealt, ["family", "part"], _grouped, schema))
-    large = parts.where("parts > 1").select("family")
-    if large.isEmpty():
+    if n_large == 0:
         return placed.where("alone = 0").selectExpr("vertex", "group AS root")
-    apart = sets.join(large, "family").join(placed, "vertex")
+    of_large = sets.join(broadcast_up_to(large, n_large), "family")
+    apart = of_large.join(placed, "vertex")
     # Copies of a row give one set twice, here as later in its block.
     few = apart.where(f"alone = 0 AND place < {FIRST}")
-    few = few.join(_parts(few, "family"), "family").withColumn("part", _in_part(F.col("parts"), 1))
+    few, _, _ = _cut(few, "family", 1)
     grouped = _renamed(placed.select("vertex", "group"), _meet(few, ["family", "part"], _linked, "a long, b long"))
     grouped = durable(grouped)
-    open_ = sets.join(large, "family").join(grouped, "vertex").dropDuplicates(["vertex"])
+    open_ = of_large.join(grouped, "vertex").dropDuplicates(["vertex"])
     left = stored(_touching(open_), "touching")
     # Each set goes to the blocks of its part with every part; two parts share one block.
-    cut = left.join(_parts(left, "near"), "near").withColumn("part", _in_part(F.col("parts"), 2))
+    cut, _, _ = _cut(left, "near", 2)
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     grouped = durable(_renamed(grouped, _meet(cut, ["near", "low", "high"], _linked, "a long, b long")))
