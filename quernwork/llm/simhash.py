@@ -8,8 +8,9 @@ number of fingerprints: its leaves are the shards. A fingerprint lives in the le
 its own value, and asks at all leaves that the bounds of the tree cannot rule out
 within one bit. Whatever meets in a shard is compared exactly, over all 64 bits.
 
-This goes in two turns. In the first no fingerprint asks at another leaf; what it joins
-is one vertex in the second, so that a large group of near copies gives few links.
+This goes in two turns. In the first no fingerprint asks at another leaf, and each gets the
+name of the smallest it is joined to; in the second those of one name need no link, so that
+a large group of near copies gives few.
 """
 
 from __future__ import annotations
@@ -375,16 +376,16 @@ def components(edges: DataFrame) -> DataFrame:
 def joined(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """The ``root`` of each ``vertex`` that is linked to another.
 
-    ``prints`` is as for ``links``, a vertex for each fingerprint. What has a quarter in
-    common is joined first and is one vertex when neighbouring leaves are asked. An empty
-    table gives no rows.
+    ``prints`` is as for ``links``, a vertex for each fingerprint. In a first turn each
+    vertex is linked to the smallest one that a shard of its own quarters holds it together
+    with, if there is one, and goes by its name when neighbouring leaves are asked: so a
+    large group gives one link for each fingerprint and few more. An empty table gives no
+    rows.
     """
-    first = durable(components(links(prints, bits, reach=0)))
-    known = prints.join(first, "vertex", "left").withColumn("group", F.coalesce("root", "vertex"))
-    again = durable(components(links(known.select(F.col("group").alias("vertex"), "print"), bits)))
-    again = again.select(F.col("vertex").alias("group"), F.col("root").alias("over"))
-    found = known.join(again, "group", "left").where("root IS NOT NULL OR over IS NOT NULL")
-    return found.select("vertex", F.coalesce("over", "group").alias("root"))
+    pairs = links(prints, bits, reach=0).select(F.greatest("a", "b").alias("vertex"), F.least("a", "b").alias("least"))
+    named = durable(pairs.groupBy("vertex").agg(F.min("least").alias("name")))
+    known = prints.join(named, "vertex", "left").select(F.coalesce("name", "vertex").alias("vertex"), "print")
+    return components(links(known, bits).unionByName(named.selectExpr("vertex AS a", "name AS b")))
 
 
 def classes(rows: DataFrame, id_: str, column: str, bits: int = BITS) -> DataFrame:
