@@ -13,7 +13,7 @@ from quernwork.llm.common import durable, free_name
 WORD = r"[^\x20\x09-\x0D]+"
 # Hash prefixes cut each source into ranges of keys, which have no more rows than this
 # on average; no task sorts more than one range of one source.
-RANGE_ROWS = 4096
+RANGE_ROWS = 256
 
 
 def words(text: Column) -> Column:
