@@ -8,14 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernwork.sources.shared import ensure_checkpoint_dir, new_folder
 
-# Rows of one Arrow batch. Texts may be long, so batches stay far below the
-# default of 10,000 rows; a batch is all that a Python task holds of its input.
+# Rows and bytes of one Arrow batch, which is all that a Python task holds of its input.
+# Texts may be long, so batches stay far below the default of 10,000 rows; what is longer
+# than the bytes is a batch of its own.
 BATCH_ROWS = 512
+BATCH_BYTES = 24 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep the Arrow batches that go to Python small in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches that go to Python small in this session.
+
+    Spark reads the settings when a plan runs, not when it is built, so they are the same
+    for all operators.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def free_name(taken: Iterable[str], base: str) -> str:
