@@ -40,7 +40,7 @@ MERGED = 1 << 17
 SHARD = 1 << 16
 # Distinct runs of one anchor above which they are dealt anew, window by window.
 LARGE = 20_000
-# Runs of which a task remembers that it has given them on.
+# New runs after which a task forgets those that it has not met since as many before.
 REMEMBERED = 50_000
 # Rows of runs that are looked at together.
 SMALL_ROWS = 20_000
@@ -79,8 +79,13 @@ _RUN = ["anchor", "digest", "doc", "mark", "place"]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of all texts; anchor -1 marks one that an earlier one covers for sure."""
-    seen: dict[int, tuple[int, int, int]] = {}
+    """The runs of all texts; anchor -1 marks one that an earlier one covers for sure.
+
+    What comes again and again is remembered for as long as it does, so of a common
+    passage a task gives on one run that has to meet others, however often it has it.
+    """
+    lately: dict[int, tuple[int, int, int]] = {}
+    before: dict[int, tuple[int, int, int]] = {}
     for batch in batches:
         out: list[list[np.ndarray]] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -95,13 +100,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = (first << _FIRST) | count | (several * _SEVERAL)
             anchor = (anchor >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
             for i, (d, p) in enumerate(zip(digest, place.tolist())):
-                before = seen.get(d)
-                if before is None or (doc, mark, p) < before:
-                    seen[d] = (doc, mark, p)
-                elif (doc, mark, p) > before:
+                own = (doc, mark, p)
+                least = lately.get(d) or before.get(d)
+                if least is None or own < least:
+                    least = own
+                elif own > least:
                     anchor[i] = -1
-            if len(seen) > REMEMBERED:
-                seen.clear()
+                lately[d] = least
+            if len(lately) > REMEMBERED:
+                lately, before = {}, lately
             digest = np.array(digest, np.uint64).view(np.int64)
             out.append([anchor, digest, np.full(len(first), doc), np.full(len(first), mark), place])
         if out:
@@ -321,6 +328,15 @@ def _remove(batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[pa.RecordB
         yield block()
 
 
+def _meeting() -> Column:
+    """What runs meet by: the anchor, but covered ones need not and go apart.
+
+    Neither the runs of one passage in many texts share it, nor those of one text.
+    """
+    apart = F.col("digest").bitwiseXOR(F.col("doc")).bitwiseXOR(F.col("mark"))
+    return F.when(F.col("anchor") == -1, apart).otherwise(F.col("anchor"))
+
+
 def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats") -> DataFrame:
     """Every row with the bytes of its text that no earlier text has said.
 
@@ -343,9 +359,7 @@ def remove_repeats(rows: DataFrame, id_: str, text: str, into: str = "repeats")
     run_schema = "anchor long, digest long, doc long, mark long, place long"
     bounded_batches(spark)
     scanned = source.mapInArrow(_scan, run_schema)
-    # A run that is covered already has no anchor to meet others by.
-    spread = F.when(F.col("anchor") == -1, F.col("digest")).otherwise(F.col("anchor"))
-    met = scanned.withColumn("spread", spread).repartition(n, "spread").drop("spread")
+    met = scanned.withColumn("spread", _meeting()).repartition(n, "spread").drop("spread")
     settled = durable(met.sortWithinPartitions(*_RUN).mapInArrow(_settle, run_schema))
     large, n_large = heavy_list(settled.where("anchor >= 0"), ["anchor"], LARGE)
     pack = _packed()
