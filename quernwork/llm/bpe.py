@@ -321,7 +321,8 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     ``pattern`` splits the text; each match is encoded by itself and what no match
     covers is left out. Special tokens are not known here, their strings are
-    ordinary text. Null and empty texts give an empty array.
+    ordinary text. Null and empty texts give an empty array; no texts give no rows. A
+    text of any length is encoded whole, in one task.
     """
 
     @arrow_udf("array<int>")
@@ -355,7 +356,8 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 def encode_proved(text: Column, path: str, pattern: str) -> Column:
     """``ids`` as ``encode`` gives them, and whether they decode to the text (``same``).
 
-    Both in one place, so that a task needs one worker and one codec.
+    Both in one place, so that a task needs one worker and one codec. Null and empty
+    texts give no ids and are the same.
     """
 
     @arrow_udf("struct<ids: array<int>, same: boolean>")

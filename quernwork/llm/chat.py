@@ -137,7 +137,8 @@ def format_turns(
     A conversation's text is its ``formatted`` in the order of turns, joined with
     nothing between. It stays in a row per turn, so that no row grows with the
     length of a conversation. Null texts and roles are empty ones. Null
-    conversations and turns are kept. Repeated rows are kept.
+    conversations and turns are kept. Repeated rows are kept. An empty table gives no
+    rows.
     """
     bounded_batches(turns.sparkSession)
     plain = turns.select(

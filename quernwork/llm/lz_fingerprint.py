@@ -109,7 +109,7 @@ def compare_neighbours(rows: DataFrame, id_: str, text: str) -> DataFrame:
     ranges. The driver holds one such place for each of four times the shuffle partitions,
     out of a sample of some 16 times as many different ones. The first row of each range is
     known so, and goes to the range before as well; texts are shuffled once. A task holds two
-    texts. Null texts are empty. A single row is its own next.
+    texts. Null texts are empty. A single row is its own next. An empty table gives no rows.
 
     Gives ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
     ``edited_fingerprint``, ``near_edited`` and ``near_next``.

@@ -47,7 +47,11 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def sketch(text: Column, size: int, words: int) -> Column:
-    """For each text its ``vertex``, a hash of its shingle set, the set's size and print."""
+    """For each text its ``vertex``, a hash of its shingle set, the set's size and print.
+
+    Of a text of fewer words than ``size`` the whole sequence is the one shingle; a null
+    text or one without words has an empty set. Equal texts have equal sketches.
+    """
 
     @arrow_udf("vertex long, n long, print binary")
     def run(texts: pa.Array) -> pa.Array:
