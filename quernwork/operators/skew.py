@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernwork.sources.shared import ensure_checkpoint_dir
@@ -141,3 +141,8 @@ def _finer(span: Column, n_rows: Column, rows: int) -> Column:
 def broadcast_up_to(df: DataFrame, size: int, limit: int = BROADCAST_VALUES) -> DataFrame:
     """``df`` marked for broadcast if its measured ``size`` allows it, or as it was."""
     return F.broadcast(df) if size <= limit else df
+
+
+def may_broadcast(spark: SparkSession) -> bool:
+    """Whether the session lets tables be broadcast; a negative threshold switches that off."""
+    return not spark.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")

@@ -16,6 +16,7 @@ from quernwork.functions import (
     total,
 )
 from quernwork.operators import roll_up
+from quernwork.operators.skew import BROADCAST_VALUES, may_broadcast
 from quernwork.plans.registry import Query
 from quernwork.sources import Tables
 
@@ -132,26 +133,39 @@ GROUP BY ALL
 """
 
 
-def revenue_from_local_suppliers(tables: Tables) -> DataFrame:
+def revenue_from_local_suppliers(tables: Tables, listed: int = BROADCAST_VALUES) -> DataFrame:
     """Revenue by nation, of lines whose supplier and customer share the nation.
 
-    Orders, fewer than lines, are brought to their nation first. Lines are then
-    joined once as rows, and meet suppliers as sums per supplier and nation.
+    Orders, fewer than lines, are brought to their nation first. Up to ``listed``
+    suppliers, counted, are broadcast, so that lines know their supplier's nation before
+    their one join as rows, and leave it as a sum per nation. With more suppliers, or
+    broadcasts switched off, lines leave the join as sums per supplier and nation, which
+    are hardly fewer than the lines and are shuffled again.
     """
     orders = tables.read("orders", "o_orderkey", "o_custkey")
-    customers = tables.read("customer", "c_custkey", "c_nationkey")
+    customers = tables.read("customer", "c_custkey", "c_nationkey").where("c_nationkey IS NOT NULL")
     placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     lines = tables.read("lineitem", "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
-    by_supplier = (
-        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_suppkey", "c_nationkey")
-        .agg(*partials(_revenue()))
-    )
     suppliers = tables.read("supplier", "s_suppkey", "s_nationkey")
-    local = (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))
-    by_nation = roll_up(by_supplier, suppliers, local, ["s_nationkey"], _revenue())
+    ordered, supplied = F.col("l_orderkey") == F.col("o_orderkey"), F.col("l_suppkey") == F.col("s_suppkey")
+    here = F.col("c_nationkey") == F.col("s_nationkey")
+    if may_broadcast(tables.spark) and suppliers.count() <= listed:
+        known = lines.where("l_suppkey IS NOT NULL").join(F.broadcast(suppliers), supplied, "left")
+        priced = known.join(placed, ordered).select(
+            "c_nationkey", here.alias("local"), discounted("l_extendedprice", "l_discount").alias("units")
+        )
+        # All prices are looked at, as wrong ones are an error whoever supplies.
+        units = F.when(F.col("units").isNotNull() & F.col("local"), F.col("units"))
+        by_nation = (
+            priced.groupBy("c_nationkey")
+            .agg(F.count_if("local").alias("n_lines"), *partials([total("revenue", units)]))
+            .where("n_lines > 0")
+        )
+    else:
+        by_supplier = lines.join(placed, ordered).groupBy("l_suppkey", "c_nationkey").agg(*partials(_revenue()))
+        by_nation = roll_up(by_supplier, suppliers, supplied & here, ["c_nationkey"], _revenue())
     nations = tables.read("nation", "n_nationkey", "n_name")
-    named = roll_up(by_nation, nations, ("s_nationkey", "n_nationkey"), ["n_name"], _revenue())
+    named = roll_up(by_nation, nations, ("c_nationkey", "n_nationkey"), ["n_name"], _revenue())
     return named.select("n_name", "n_lines", amount("revenue", 4).alias("revenue"))
 
 
