@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+import string
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,12 +30,17 @@ from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 # Pairs of tokens, and texts with their tokens in each of two generations, that a
-# worker keeps; beyond that older ones are forgotten, which changes no token.
+# worker keeps if no other number is given; beyond that older ones are forgotten, which
+# changes no token.
 MOST_PAIRS = 400_000
 MOST_TEXTS = 100_000
 # Tokens decoded at a time.
 DECODED = 4096
 
+# Bytes at the beginning of a piece that are read once for all pieces that share them,
+# and how many such beginnings a worker keeps.
+BEGINNING = 6
+MOST_BEGINNINGS = 50_000
 # Bytes of a piece after which sure tokens are emitted.
 EMITTED = 4096
 
@@ -47,6 +53,8 @@ SPACED_PATTERN = (
 )
 # A space for which that does not hold.
 _UNSURE = re.compile(r" (?:\s|\Z)")
+# Marks, of which no run after letters is split or taken up by them if no letter follows.
+_MARKS = string.punctuation
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -104,6 +112,8 @@ class Transducer:
         # States by the bytes they stand for.
         self.states: dict[bytes, State] = {}
         self.start = self._state(b"")
+        # Beginnings of pieces, read already.
+        self.beginnings: dict[bytes, tuple[list[int], State]] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
         """What stands at one end of a token while it is being merged.
@@ -176,12 +186,26 @@ class Transducer:
         whole = self.whole_only.get(piece)
         if whole is not None:
             return (whole,)
-        out: list[int] = []
         # The token that ends at each place since the last emitted one, which is the
         # first here; -1 stands at the beginning of the piece.
         # No token that ends later begins before it, so none is longer than this.
-        last, state = [-1], self.start
-        for byte in piece:
+        if len(piece) <= BEGINNING:
+            return tuple(self._chain(last := self._read(piece, [-1], self.start)[0], len(last) - 1))
+        known = self.beginnings.get(piece[:BEGINNING])
+        if known is None:
+            if len(self.beginnings) >= MOST_BEGINNINGS:
+                self.beginnings.clear()
+            known = self._read(piece[:BEGINNING], [-1], self.start)
+            self.beginnings[piece[:BEGINNING]] = known
+        last, _ = self._read(piece[BEGINNING:], known[0].copy(), known[1], out := [])
+        out += self._chain(last, len(last) - 1)
+        return tuple(out)
+
+    def _read(
+        self, part: bytes, last: list[int], state: State, out: list[int] | None = None
+    ) -> tuple[list[int], State]:
+        """``last`` and ``state`` after some more bytes, what is sure emitted to ``out``."""
+        for byte in part:
             state = state[0].get(byte) or self.move(state, byte)
             for token, length, after, never in state[1]:
                 before = last[-length]
@@ -194,8 +218,7 @@ class Transducer:
             last.append(token)
             if len(last) > EMITTED:
                 last = self._emit(last, state[2], out)
-        out += self._chain(last, len(last) - 1)
-        return tuple(out)
+        return last, state
 
     def _chain(self, last: list[int], end: int) -> list[int]:
         """The tokens from the beginning of ``last`` up to the one that ends at ``end``."""
@@ -277,19 +300,30 @@ class Known(dict):
 class Codec:
     """Texts to tokens and back. Tokens are kept as the bytes of ints of 32 bits."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, texts: int = MOST_TEXTS) -> None:
         self.transducer = Transducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
-        self.piece = Known(self._piece, MOST_TEXTS // 2)
-        self.word = Known(self._after_space, MOST_TEXTS)
+        self.piece = Known(self._piece, texts // 2)
+        self.word = Known(self._after_space, texts)
 
-    def _piece(self, piece: str) -> bytes:
+    def _tokens(self, piece: str) -> bytes:
         return array("i", self.transducer.encode(piece.encode())).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        # A word of letters is kept once, wherever it stands.
+        if self.spaced and piece[0] == " " and piece[1:].isalpha():
+            return self.word[piece[1:]]
+        return self._tokens(piece)
+
     def _after_space(self, word: str) -> bytes:
-        # Letters after a space are one piece.
-        return self._piece(f" {word}") if word.isalpha() else self._pieces(f" {word}")
+        # Letters after a space are one piece, and so are the marks that end a word.
+        if word.isalpha():
+            return self._tokens(f" {word}")
+        letters = word.rstrip(_MARKS)
+        if letters.isalpha():
+            return self.word[letters] + self.piece[word[len(letters) :]]
+        return self._pieces(f" {word}")
 
     def _pieces(self, text: str) -> bytes:
         piece = self.piece
@@ -311,9 +345,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, texts: int = MOST_TEXTS) -> Codec:
     """One codec per worker and vocabulary, with all states it has made."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, texts)
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:
@@ -372,3 +406,24 @@ def encode_proved(text: Column, path: str, pattern: str) -> Column:
         return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "same"])
 
     return run(text)
+
+
+def encode_decoded(text: Column, path: str, pattern: str, texts: int = MOST_TEXTS) -> Column:
+    """``ids`` as ``encode`` gives them, and the text that they decode to (``decoded``).
+
+    In one place: Spark would run ``encode`` once for its own column and once more for
+    ``decode`` of it. Null and empty texts give no ids and the empty text. ``texts`` says
+    how many short texts a worker keeps the tokens of.
+    """
+
+    @arrow_udf("struct<ids: array<int>, decoded: string>")
+    def run(rows: pa.Array) -> pa.Array:
+        known = codec(path, pattern, texts)
+        found = [np.frombuffer(known.encode(t or ""), np.int32) for t in rows.to_pylist()]
+        decoded = pa.array(["".join(known.decode(f.tolist())) for f in found], pa.string())
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        values = np.concatenate([np.zeros(0, np.int32), *found])
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+        return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+
+    return run(text)

@@ -6,22 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernwork.llm.bpe import decode, encode
+from quernwork.llm.bpe import encode_decoded
 from quernwork.llm.common import bounded_batches
 from quernwork.sources import Tables
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# Short texts in each of two generations whose tokens a worker keeps, some 100 MB more
+# than by default; no other operator runs beside this one.
+TEXTS = 400_000
 
 
 def run(tables: Tables) -> DataFrame:
     """Digests of the token ids of every text, and of the text they decode to."""
     bounded_batches(tables.spark)
     by = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    encoded = tables.read("documents").select("doc_id", encode(F.col("text"), *by).alias("ids"))
-    decoded = encoded.select("doc_id", "ids", decode(F.col("ids"), *by).alias("decoded"))
-    return decoded.select(
+    both = tables.read("documents").select("doc_id", encode_decoded(F.col("text"), *by, TEXTS).alias("both"))
+    return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("both.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("both.ids", " "), 256).alias("ids_sha256"),
+        F.sha2("both.decoded", 256).alias("decoded_sha256"),
     )

@@ -8,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quernwork.llm.bpe import Transducer, Utf8Reader, codec, read_ranks
+from quernwork.llm.bpe import Transducer, Utf8Reader, codec, decode, encode, encode_decoded, read_ranks
 from quernwork.llm.q03_bpe import run
 from quernwork.sources import Tables
 
@@ -81,3 +81,34 @@ def test_odd_rows(spark, tmp_path):
     assert sorted(map(tuple, run(Tables(spark, str(tmp_path))).collect()), key=str) == expected(rows)
     df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert run(Tables(spark, f"{tmp_path}/none")).collect() == []
+
+
+def test_every_text_is_encoded_once(spark):
+    """Decoding reads ids that are there; ``encode`` ran again inside ``decode`` of its column."""
+    plan = run(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    (udfs,) = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert udfs.count("run(text") == 1
+
+
+def test_words_and_the_marks_after_them():
+    """Letters are kept once, with or without marks and spaces around them."""
+    words = ["the", "the,", "the...", "the'", "the's", "the's,", "'the", "(the)", "é&&&", "x=", "x=1", "日。", "a\nthe,", "thE$'s"]
+    for first in words:
+        for then in words:
+            for text in (f"{first} {then}", f"{first}\n{then} {first}", f"{first}  {then} ", f" {then} {first}"):
+                assert encoded(text) == LIBRARY.encode_ordinary(text), text
+
+
+def test_few_kept_texts_change_no_token():
+    few = codec(PATH, public_tokenizers.PATTERN, 4)
+    text = " ".join(f"beginning{i % 9}s beginning{'abc'[i % 3]} begin{'nxyz'[i % 4]}{'.' * (i % 3)}" for i in range(60))
+    for _ in range(2):
+        assert np.frombuffer(few.encode(text), np.int32).tolist() == LIBRARY.encode_ordinary(text)
+
+
+def test_one_step_equals_two(spark):
+    by = PATH, public_tokenizers.PATTERN
+    df = spark.createDataFrame([("the end, ends.",), ("",), (None,), ("x  \n日 ",)], "text string")
+    both = df.select(encode_decoded(df.text, *by).alias("both")).select("both.*")
+    ids = df.select(encode(df.text, *by).alias("ids"))
+    assert both.collect() == ids.select("ids", decode(ids.ids, *by).alias("decoded")).collect()
